@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .storage import map_batches
+
 SCHEMA = (
     "doc_id long, n_words long, n_base long, first_word long, last_word long, "
     "base_labels string, labels string, score double, n_method long, expressions string"
@@ -180,4 +182,4 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     score 0; a null doc_id stays null; repeated rows give repeated results; other columns
     are ignored. ``score`` is 1 - 2**-evidence over all phrases and parsed tags."""
     narrow = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    return narrow.mapInArrow(_scanned, SCHEMA)
+    return map_batches(narrow, _scanned, SCHEMA)

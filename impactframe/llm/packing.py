@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .storage import map_batches
+
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
     "sequence_id long, offset long, sequence_length long"
@@ -217,4 +219,4 @@ def pack(
     ``doc_id`` and ``text`` are ignored, whatever their names."""
     path = tokenizer_path or default_tokenizer()
     narrow = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    return narrow.mapInArrow(lambda it: _packed(it, path, window, max_open), SCHEMA)
+    return map_batches(narrow, lambda it: _packed(it, path, window, max_open), SCHEMA)

@@ -8,8 +8,11 @@ and then only for a local master.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,5 +63,16 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def map_batches(df: DataFrame, function: Callable[[Iterable], Iterator], schema: str) -> DataFrame:
+    """``df.mapInArrow`` with the package's folder on the workers' path, for sessions whose
+    workers would not find it otherwise."""
+    environment = df.sparkSession.sparkContext.environment
+    root = str(Path(__file__).resolve().parents[2])
+    path = environment.get("PYTHONPATH", "")
+    if root not in path.split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, path]))
+    return df.mapInArrow(function, schema)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
