@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .quality import split_words
-from .storage import durable
+from .storage import barrier, durable
 
 #: Domains from the labels (quality, toxic), with the shares of tokens aimed at.
 DOMAINS = ["good", "poor", "toxic"]
@@ -202,9 +202,9 @@ def mix(
     """``docs``, each row as often as its number of copies; defined as ``rates`` is."""
     prior, weight = learn(docs, labels, rows)
     own = docs.select(*[docs[c].alias(f"_d{i}") for i, c in enumerate(docs.columns)], docs["doc_id"], docs["text"])
-    judged = with_posteriors(own, prior, weight)
+    judged = with_posteriors(own, prior, weight).withColumn("_row", barrier())
     steps, _ = fit_steps(durable(judged.select("n_tokens", "posterior")), targets or TARGETS)
-    drawn = with_rates(judged, steps).where("n_copies > 0")
+    drawn = with_rates(judged, steps).where((F.col("n_copies") > 0) & (F.col("_row") >= 0))
     copies = drawn.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies"))))
     return copies.select(*[F.col(f"_d{i}").alias(c) for i, c in enumerate(docs.columns)])
 

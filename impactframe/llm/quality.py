@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import BROADCAST_ROWS, durable, partitions
+from .storage import BROADCAST_ROWS, barrier, durable, partitions
 
 BLANK = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
@@ -164,10 +164,13 @@ def score_documents(
         F.size("_removed") > 0,
         F.array_join(F.filter(lines, lambda line: ~F.array_contains(F.col("_removed"), line)), "\n"),
     ).otherwise(F.col("_text"))
-    scored = scored.withColumns({"n_removed_words": n_removed.cast("long"), "clean_text": clean})
+    scored = scored.withColumns(
+        {"n_removed_words": n_removed.cast("long"), "clean_text": clean, "_row": barrier()}
+    )
     left = F.col("n_words") - F.col("n_removed_words")
     depleted = (left < MIN_WORDS) | (100 * F.col("n_removed_words") > max_removed * F.col("n_words"))
-    return scored.withColumn("kept", ~F.col("base_failed") & ~depleted).drop("_text", "_host", "_lines", "_removed")
+    kept = ~F.col("base_failed") & ~depleted & (F.col("_row") >= 0)
+    return scored.withColumn("kept", kept).drop("_text", "_host", "_lines", "_removed", "_row")
 
 
 def oracle(min_docs: int = MIN_DOCS, doc_share: float = DOC_SHARE, max_removed: int = MAX_REMOVED_PERCENT) -> str:

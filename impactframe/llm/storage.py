@@ -14,7 +14,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of one narrow (id-like) table that may be broadcast after it has been counted.
@@ -63,6 +63,13 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def barrier() -> Column:
+    """A number, never negative, for a column of the select that computes costly columns.
+    A filter that also asks for ``>= 0`` of it is not pushed below that select, where the
+    optimiser would put the costly expressions into the condition."""
+    return F.monotonically_increasing_id()
+
+
 def map_batches(df: DataFrame, function: Callable[[Iterable], Iterator], schema: str) -> DataFrame:
     """``df.mapInArrow`` with the package's folder on the workers' path, for sessions whose
     workers would not find it otherwise."""
