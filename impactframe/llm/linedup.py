@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import durable, map_batches, partitions, release
+from .storage import broadcast_if_small, durable, map_batches, partitions, release
 
 MIN_WORDS = 50
 #: Bits of a position that number a document's lines.
@@ -226,13 +226,17 @@ def without_runs(text: str, runs: Iterable[int]) -> tuple[str, int, int]:
 
 
 def _cleaned(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first columns as they are, then, from the last two (text and runs), the cleaned
+    text and the counts."""
     for batch in batches:
-        rows = [without_runs(t.as_py(), r.as_py()) for t, r in zip(batch.column(3), batch.column(4), strict=True)]
-        text, lines, runs = zip(*rows, strict=True) if rows else ((), (), ())
-        yield pa.RecordBatch.from_arrays(
-            [*batch.columns[:3], pa.array(text, pa.string()), pa.array(lines, pa.int64()), pa.array(runs, pa.int64())],
-            [*_KEY, "clean_text", "n_removed", "n_runs"],
-        )
+        n = batch.num_columns - 2
+        texts, runs = batch.column(n), batch.column(n + 1)
+        clean, lines, spans = texts.to_pylist(), [0] * batch.num_rows, [0] * batch.num_rows
+        for i in np.flatnonzero(runs.is_valid().to_numpy(zero_copy_only=False)):
+            clean[i], lines[i], spans[i] = without_runs(clean[i], runs[i].as_py())
+        made = [pa.array(clean, pa.string()), pa.array(lines, pa.int64()), pa.array(spans, pa.int64())]
+        names = [*batch.schema.names[:n], "clean_text", "n_removed", "n_runs"]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:n], *made], names)
 
 
 def deduplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -243,28 +247,21 @@ def deduplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     doc_id and text are one document and are cleaned alike, while equal texts under
     different ids are copies, of which the first stays; an empty table gives no rows."""
     own = docs.drop("clean_text", "n_removed", "n_runs")
-    columns = [own[c].alias(f"_d{i}") for i, c in enumerate(own.columns)]
-    keys = _keyed(own)
     runs = durable(repeated_runs(own, min_words))
-    clean = durable(
-        map_batches(
-            keys.join(runs, _same_document(keys, runs)).select(*[keys[c] for c in _KEY], "text", "runs").distinct(),
-            _cleaned,
-            f"{_DOC_KEY}, clean_text string, n_removed long, n_runs long",
-        )
-    )
     text = F.coalesce(own["text"], F.lit(""))
     wide = own.select(
-        *columns,
+        *[own[c].alias(f"_d{i}") for i, c in enumerate(own.columns)],
         own["doc_id"].cast("long").alias("doc_id"),
         text.alias("_text"),
         F.xxhash64(text).alias("t1"),
         F.xxhash64(F.lit("#"), text).alias("t2"),
     )
-    joined = wide.join(clean, _same_document(wide, clean), "left")
-    return joined.select(
-        *[F.col(f"_d{i}").alias(c) for i, c in enumerate(own.columns)],
-        F.coalesce(clean["clean_text"], wide["_text"]).alias("clean_text"),
-        F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"),
-        F.coalesce("n_runs", F.lit(0).cast("long")).alias("n_runs"),
+    # only documents with something to delete are listed, a few numbers each
+    joined = wide.join(broadcast_if_small(runs), _same_document(wide, runs), "left")
+    kept = joined.select(*[F.col(f"_d{i}") for i in range(len(own.columns))], "_text", "runs")
+    types = [f"_d{i} {f.dataType.simpleString()}" for i, f in enumerate(own.schema.fields)]
+    schema = ", ".join([*types, "clean_text string, n_removed long, n_runs long"])
+    cleaned = map_batches(kept, _cleaned, schema)
+    return cleaned.select(
+        *[F.col(f"_d{i}").alias(c) for i, c in enumerate(own.columns)], "clean_text", "n_removed", "n_runs"
     )
