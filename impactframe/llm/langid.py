@@ -262,16 +262,18 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS, steps: int = STEPS) -> Model |
     hashed = F.xxhash64("doc_id")
     spare = F.greatest(F.length("text") - TRAIN_CHARS, F.lit(0)) + 1
     at = F.pmod(F.xxhash64(hashed), spare.cast("long")).cast("int") + 1
+    # hashes first, so that texts of the chosen rows alone are moved
+    last = usable.select(hashed.alias("h")).orderBy("h").limit(rows).agg(F.max("h")).first()[0]
+    if last is None:
+        return None
     drawn = (
-        usable.select(
+        usable.where(hashed <= last).select(
             hashed.alias("h"), F.substring(F.col("text"), at, F.lit(TRAIN_CHARS)).alias("text"), F.col("lang")
         )
         .orderBy("h", "text")
         .limit(rows)
         .collect()
     )
-    if not drawn:
-        return None
     return train([r["text"] for r in drawn], [r["lang"] for r in drawn], steps)
 
 

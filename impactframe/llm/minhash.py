@@ -8,10 +8,12 @@ How work stays bounded:
 
 * Documents with equal sets form a class; only one of each class goes on.
 * A key of either collection that one class alone has is dropped before pairs are formed.
-* Candidates of a bucket are not expanded into pairs: each round links a bucket's members
-  to one leader, confirms those links, and merges components. What lies in one component
+* Candidates of a bucket are not expanded into pairs: in each round a document is compared
+  with a few leaders of its buckets, and components are merged. What lies in one component
   needs no further comparison. Only after ``STAR_ROUNDS`` rounds are the members of
-  different components in one bucket compared with each other, so no link is lost.
+  different components in one bucket paired with each other, so no link is lost.
+* Before sets are compared, bitmaps of them give an upper bound of the intersection; a pair
+  that the bound rules out is no link.
 * Sets are recomputed from text for candidate documents only.
 
 With similarity s a link is missed if one collection has no common key: at most
@@ -24,7 +26,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum
@@ -33,7 +35,10 @@ from .storage import broadcast_if_small, durable, map_batches
 
 ROWS = 3
 TABLES = 13
-STAR_ROUNDS = 2
+STAR_ROUNDS = 1
+#: Leaders a document is compared with in one round, and 64-bit words of a set's bitmap.
+OFFERS = 8
+BITMAP = 16
 _SIGNED = pa.int64()
 
 
@@ -90,6 +95,13 @@ def _signatures(batches: Iterable[pa.RecordBatch], k: int, rows: int, tables: in
             )
 
 
+def _bitmap(hashes: np.ndarray) -> np.ndarray:
+    """The bitmap's words, then the number of its bits that are set."""
+    bits = np.zeros(BITMAP * 64, bool)
+    bits[textnum.mix(hashes) >> np.uint64(64 - (BITMAP * 64).bit_length() + 1)] = True
+    return np.append(np.packbits(bits, bitorder="little").view(np.uint64), np.uint64(bits.sum()))
+
+
 def _sets(batches: Iterable[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, data, offsets in textnum.slices(batch.column(1)):
@@ -97,8 +109,12 @@ def _sets(batches: Iterable[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
             own = [np.unique(hashes[bounds[i] : bounds[i + 1]]) for i in range(hi - lo)]
             ends = np.cumsum([0, *map(len, own)])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(lo, hi - lo).cast(_SIGNED), _lists(np.concatenate(own), ends)],
-                ["node", "shingles"],
+                [
+                    batch.column(0).slice(lo, hi - lo).cast(_SIGNED),
+                    _lists(np.concatenate(own), ends),
+                    _lists(np.concatenate([_bitmap(x) for x in own]), np.arange(hi - lo + 1) * (BITMAP + 1)),
+                ],
+                ["node", "shingles", "bits"],
             )
 
 
@@ -126,6 +142,67 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _possible(n: Column, bits: Column, m: Column, bits2: Column, percent: int) -> Column:
+    """Whether sets of sizes n and m with these bitmaps can meet the threshold. A bit that
+    one set has alone is an element the other lacks, so this never denies a true link."""
+    both = sum(
+        (F.bit_count(F.get(bits, i).bitwiseAND(F.get(bits2, i))) for i in range(1, BITMAP)),
+        F.bit_count(F.get(bits, 0).bitwiseAND(F.get(bits2, 0))),
+    )
+    most = both + F.least(n - F.get(bits, BITMAP), m - F.get(bits2, BITMAP))
+    close = F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m)
+    return close & (F.lit(100 + percent) * most >= F.lit(percent) * (n + m))
+
+
+def _asked(labelled: DataFrame, bitmaps: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Pairs (p, q): every bucket has a leader drawn by hash; a member of another component
+    is paired with at most ``OFFERS`` leaders of its buckets that its bitmap allows."""
+    drawn = F.struct(F.xxhash64("node", "bucket", F.lit(turn)).alias("r"), "node", "component")
+    leaders = labelled.groupBy("bucket").agg(F.min(drawn).alias("leader"))
+    offers = (
+        labelled.join(leaders, "bucket")
+        .where(F.col("component") != F.col("leader.component"))
+        .groupBy(F.col("node").alias("q"), F.col("leader.node").alias("p"))
+        .agg(F.count("*").alias("shared"))
+    )
+    # the leaders met in most buckets are the likeliest; the others stay for the last round
+    first = F.sort_array(F.collect_list(F.struct("shared", "p")), asc=False)
+    offers = offers.groupBy("q").agg(F.slice(first, 1, 2 * OFFERS).alias("first"))
+    offers = offers.select("q", F.inline("first"))
+    left = bitmaps.select(F.col("node").alias("p"), F.col("n").alias("n1"), F.col("bits").alias("b1"))
+    right = bitmaps.select(F.col("node").alias("q"), F.col("n").alias("n2"), F.col("bits").alias("b2"))
+    allowed = offers.join(left, "p").join(right, "q").where(
+        _possible(F.col("n1"), F.col("b1"), F.col("n2"), F.col("b2"), percent)
+    )
+    best = F.sort_array(F.collect_list(F.struct("shared", "p")), asc=False)
+    return (
+        allowed.groupBy("q")
+        .agg(F.slice(best, 1, OFFERS).alias("best"))
+        .select(F.explode("best.p").alias("p"), "q")
+    )
+
+
+def _across(labelled: DataFrame, sides: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
+    """Pairs (p, q) in one bucket but different components, each from one of the buckets it
+    shares: that of the least key common to both in either collection."""
+    full = (
+        labelled.select("bucket", "node", "component", "x", "y")
+        .join(sides.select("node", "a", "b"), "node")
+        .join(bitmaps, "node")
+    )
+    other = full.select("bucket", *[F.col(c).alias(f"{c}2") for c in ("node", "component", "n", "bits", "a", "b")])
+    return (
+        full.join(other, "bucket")
+        .where(
+            (F.col("component") < F.col("component2"))
+            & _possible(F.col("n"), F.col("bits"), F.col("n2"), F.col("bits2"), percent)
+            & (F.col("x") == F.array_min(F.array_intersect("a", "a2")))
+            & (F.col("y") == F.array_min(F.array_intersect("b", "b2")))
+        )
+        .select(F.col("node").alias("p"), F.col("node2").alias("q"))
+    )
+
+
 def near_duplicates(
     docs: DataFrame, k: int = 5, percent: int = 80, rows: int = ROWS, tables: int = TABLES
 ) -> DataFrame:
@@ -156,21 +233,23 @@ def near_duplicates(
         F.collect_list(F.when(F.col("first"), F.col("key"))).alias("a"),
         F.collect_list(F.when(~F.col("first"), F.col("key"))).alias("b"),
     )
+    sides = durable(sides)
     tensored = sides.select("node", "n", F.explode("a").alias("x"), "b").select(
         "node", "n", "x", F.explode("b").alias("y")
     )
-    tensored = tensored.select("node", "n", F.xxhash64("x", "y").alias("bucket"))
+    tensored = tensored.select("node", "n", "x", "y", F.xxhash64("x", "y").alias("bucket"))
     full = tensored.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
     buckets = durable(tensored.join(full.select("bucket"), "bucket", "left_semi"))
 
     candidates = durable(buckets.select("node").distinct())
     narrow = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
     own = narrow.join(broadcast_if_small(candidates.withColumnRenamed("node", "doc_id")), "doc_id", "left_semi")
-    sets = durable(map_batches(own, lambda it: _sets(it, k), "node long, shingles array<long>"))
+    sets = durable(map_batches(own, lambda it: _sets(it, k), "node long, shingles array<long>, bits array<long>"))
+
+    bitmaps = sets.select("node", F.size("shingles").alias("n"), "bits")
 
     links = same
     labels = None
-    close = lambda x, y: F.lit(100) * F.least(x, y) >= F.lit(percent) * F.greatest(x, y)
     for turn in range(STAR_ROUNDS + 1):
         if labels is None:
             labelled = buckets.withColumn("component", F.col("node"))
@@ -185,26 +264,12 @@ def near_duplicates(
             if labelled.isEmpty():
                 break
         if turn < STAR_ROUNDS:
-            rank = F.struct(F.xxhash64("node", F.lit(turn)).alias("r"), "node", "n", "component")
-            rank = F.struct("node", "n", "component") if turn == 0 else rank
-            leaders = labelled.groupBy("bucket").agg(F.min(rank).alias("leader"))
-            pairs = labelled.join(leaders, "bucket").where(
-                (F.col("component") != F.col("leader.component")) & close(F.col("n"), F.col("leader.n"))
-            )
-            pairs = pairs.select(F.col("leader.node").alias("p"), F.col("node").alias("q"))
+            pairs = _asked(labelled, bitmaps, turn, percent)
         else:
-            other = labelled.select(
-                "bucket",
-                F.col("node").alias("q"),
-                F.col("n").alias("m"),
-                F.col("component").alias("other"),
-            )
-            pairs = labelled.join(other, "bucket").where(
-                (F.col("component") < F.col("other")) & close(F.col("n"), F.col("m"))
-            )
-            pairs = pairs.select(F.col("node").alias("p"), "q")
+            pairs = _across(labelled, sides, bitmaps, percent)
         pairs = pairs.select(F.greatest("p", "q").alias("u"), F.least("p", "q").alias("v")).distinct()
-        found = durable(_confirmed(durable(pairs), sets, percent))
+        pairs = durable(pairs)
+        found = durable(_confirmed(pairs, sets, percent))
         links = durable(links.unionByName(found)) if turn == 0 else links.unionByName(found)
         labels = durable(connected_components(links))
     answer = signed.select("doc_id", "n_shingles").join(labels, F.col("doc_id") == F.col("node"), "left")

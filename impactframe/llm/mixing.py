@@ -154,30 +154,36 @@ def aims(natural: list[float], targets: dict[str, float], protected: tuple[str,
 def fit_steps(narrow: DataFrame, targets: dict[str, float]) -> tuple[list[list[float]], list[float]]:
     """Steps of the fit on ``narrow(n_tokens, posterior)``, and the token totals aimed at.
 
-    Minimises half the squared distance to the aims in the metric of the inverse Gram
-    matrix, with gradients scaled by document length; in this metric a unit step is the
-    inverse of the gradient's Lipschitz constant. All rates start at 1."""
+    All rates start at 1. A step adds to each rate the posterior's product with a vector and
+    projects it onto nonnegative numbers: the gradient of half the squared distance to the
+    aims, for each token of a document, in the metric of the inverse Gram matrix. That of
+    all documents makes a unit step safe (it is the inverse of the Lipschitz constant); that
+    of the documents with a positive rate is nearer to the distance's curvature and is used
+    as long as the distance falls."""
     k = len(DOMAINS)
     p = [F.get(F.col("posterior"), j) for j in range(k)]
     n = F.col("n_tokens")
-    gram = [F.sum(n * p[i] * p[j]) for i in range(k) for j in range(k)]
-    first = narrow.agg(*[F.sum(n * x) for x in p], *gram).first()
-    values = [float(x or 0.0) for x in first]
-    natural, flat = values[:k], values[k:]
+
+    def measured(rate: Column) -> tuple[list[float], list[list[float]]]:
+        """Token totals at these rates, and the Gram matrix of the documents that have any."""
+        used = F.when(F.col("rate") > 0, n)
+        sums = [F.sum(F.col("rate") * n * x) for x in p] + [F.sum(used * p[i] * p[j]) for i in range(k) for j in range(k)]
+        row = [float(x or 0.0) for x in narrow.withColumn("rate", rate).agg(*sums).first()]
+        return row[:k], [row[k + i * k : k + (i + 1) * k] for i in range(k)]
+
+    natural, whole = measured(F.lit(1.0))
     wanted = aims(natural, targets)
-    matrix = [flat[i * k : (i + 1) * k] for i in range(k)]
-    steps: list[list[float]] = []
-    now = natural
     scale = max(sum(wanted), 1.0)
+    steps: list[list[float]] = []
+    now, active, before = natural, whole, math.inf
     for _ in range(STEPS):
         missing = [w - x for w, x in zip(wanted, now, strict=True)]
-        if max(map(abs, missing)) <= TOLERANCE * scale:
+        distance = max(map(abs, missing))
+        if distance <= TOLERANCE * scale:
             break
-        steps.append(_solve(matrix, missing))
-        rate = _rate(F.col("posterior"), steps)
-        now = [float(x or 0.0) for x in narrow.withColumn("rate", rate).agg(
-            *[F.sum(F.col("rate") * n * x) for x in p]
-        ).first()]
+        steps.append(_solve(active if distance < before else whole, missing))
+        before = distance
+        now, active = measured(_rate(F.col("posterior"), steps))
     return steps, wanted
 
 
