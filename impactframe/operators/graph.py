@@ -12,25 +12,29 @@ from pyspark.sql import functions as F
 from ..session import durable
 
 MAX_STEPS = 10_000
+COMPACT_STEPS = 16
 
 
 def bfs_levels(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(seed, node, level): nodes reached from each seed along ``edges(src, dst)``, with the
     least number of steps; a seed reaches itself in none."""
     edges = durable(edges.select("src", "dst").where("src <> dst").distinct())
-    frontier = durable(seeds.select(F.col("seed"), F.col("seed").alias("node")).distinct())
-    reached = frontier.withColumn("level", F.lit(0))
+    frontier = durable(seeds.select("seed", F.col("seed").alias("node")).distinct().withColumn("level", F.lit(0)))
+    reached = frontier
     for level in range(1, MAX_STEPS):
-        step = (
+        frontier = durable(
             frontier.join(edges, frontier["node"] == edges["src"])
             .select("seed", F.col("dst").alias("node"))
             .distinct()
             .join(reached.select("seed", "node"), ["seed", "node"], "left_anti")
+            .withColumn("level", F.lit(level))
         )
-        frontier = durable(step)
         if frontier.isEmpty():
             return reached
-        reached = durable(reached.unionByName(frontier.withColumn("level", F.lit(level))))
+        # what was reached stays in the files of its step; now and then they become one
+        reached = reached.unionByName(frontier)
+        if level % COMPACT_STEPS == 0:
+            reached = durable(reached)
     raise RuntimeError("the graph is deeper than MAX_STEPS")
 
 

@@ -68,25 +68,23 @@ def change_table(spark: SparkSession, rows: list[tuple[str, list[tuple[int, int]
 
 
 def json_path_rows(df: DataFrame, key: str, text: str, depth: int = 4) -> DataFrame:
-    """(key, path) of JSON texts in a table, to a fixed depth of nesting, without Python:
-    one pass a level over what is still an array or object."""
-    level = df.select(key, F.try_parse_json(text).alias("v")).where("v is not null")
-    found = None
-    for _ in range(depth + 1):
-        kind = F.schema_of_variant("v")
-        is_text = kind == "STRING"
-        path = F.expr("try_variant_get(v, '$.path', 'string')")
-        rows = level.select(
-            key,
-            F.when(is_text, F.expr("try_variant_get(v, '$', 'string')")).when(F.startswith(kind, F.lit("OBJECT")), path).alias("path"),
-        ).where("path is not null")
-        found = rows if found is None else found.unionByName(rows)
-        inner = level.where(~is_text & ~(F.startswith(kind, F.lit("OBJECT")) & path.isNotNull()))
-        arrays = F.when(F.startswith(kind, F.lit("ARRAY")), F.expr("try_variant_get(v, '$', 'array<variant>')"))
-        held = [F.expr(f"try_variant_get(v, '$.{k}', 'variant')") for k in NESTED_KEYS]
-        below = F.coalesce(arrays, F.array_compact(F.array(*held)))
-        level = inner.select(key, F.explode(below).alias("v"))
-    return found
+    """(key, path) of JSON texts in a table, to a fixed depth of nesting, without Python.
+    Each level turns a value into its path, or into the values it holds, in one pass."""
+    kind = F.schema_of_variant("v")
+    is_object = F.startswith(kind, F.lit("OBJECT"))
+    own = F.when(kind == "STRING", F.expr("try_variant_get(v, '$', 'string')")).when(
+        is_object, F.expr("try_variant_get(v, '$.path', 'string')")
+    )
+    arrays = F.when(F.startswith(kind, F.lit("ARRAY")), F.expr("try_variant_get(v, '$', 'array<variant>')"))
+    held = F.when(is_object, F.array_compact(F.array(*[F.expr(f"try_variant_get(v, '$.{k}', 'variant')") for k in NESTED_KEYS])))
+    level = df.select(key, F.try_parse_json(text).alias("v"), F.lit(None).cast("string").alias("path"))
+    for step in range(depth + 1):
+        found = F.coalesce("path", own)
+        done = F.array(F.struct(F.lit(None).cast("variant").alias("v"), found.alias("path")))
+        below = F.transform(F.coalesce(arrays, held), lambda x: F.struct(x.alias("v"), F.lit(None).cast("string").alias("path")))
+        inner = F.when(found.isNotNull(), done)
+        level = level.select(key, F.inline(inner if step == depth else inner.otherwise(below)))
+    return level.select(key, "path")
 
 
 def diff_ranges(df: DataFrame, text: str, *keys: str) -> DataFrame:
@@ -109,9 +107,9 @@ def diff_ranges(df: DataFrame, text: str, *keys: str) -> DataFrame:
     rows = lines.where("path is not null").select(
         *keys, "path", first.alias("start_line"), F.when(first.isNotNull(), first + F.greatest(n, F.lit(1)) - 1).alias("end_line")
     )
-    some = rows.where("start_line is not null").distinct()
-    none = rows.select(*keys, "path").distinct().join(some, [*keys, "path"], "left_anti")
-    return some.unionByName(none, allowMissingColumns=True)
+    whole = F.when(F.col("start_line").isNotNull(), F.struct("start_line", "end_line"))
+    grouped = rows.groupBy(*keys, "path").agg(F.collect_set(whole).alias("r"))
+    return grouped.select(*keys, "path", F.explode_outer("r").alias("r")).select(*keys, "path", "r.start_line", "r.end_line")
 
 
 def delta_paths(deltas: DataFrame) -> DataFrame:
