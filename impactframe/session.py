@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The folder made up where none is set.
+_local: list[str] = []
+
 
 def local_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkSession:
     return (
@@ -28,8 +31,9 @@ def durable(df: DataFrame) -> DataFrame:
     if not folder:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="impactframe-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if not _local:
+            _local.append(tempfile.mkdtemp(prefix="impactframe-"))
+        folder = _local[0]
     path = f"{folder.rstrip('/')}/impactframe-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
