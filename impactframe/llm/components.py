@@ -34,24 +34,31 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out if large else out.distinct()
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, steps: int | None = None) -> DataFrame:
     """(node, component) for the nodes of ``edges(u, v)``; the component is its least node.
 
-    Self-loops and edges with a null end are ignored; repeated edges count once."""
+    Self-loops and edges with a null end are ignored; repeated edges count once. With
+    ``steps`` the work ends after so many: nodes of one label are connected, but connected
+    nodes may have several labels."""
     current = durable(
         edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     )
     mark = None
-    for _ in range(MAX_ROUNDS):
+    for done in range(MAX_ROUNDS):
         step = durable(_star(_star(current, True), False))
         seen = step.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first()
         release(current)
         current = step
-        if seen == mark:
+        if seen == mark or done + 1 == steps:
             break
         mark = seen
     else:
         raise RuntimeError("components did not settle")
+    if steps is not None:
+        current = current.groupBy("u").agg(F.min("v").alias("v"))
+        roots = current.select("v").distinct().join(current.select(F.col("u").alias("v")), "v", "left_anti")
+    else:
+        roots = current.select("v").distinct()
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-        current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+        roots.select(F.col("v").alias("node"), F.col("v").alias("component"))
     )

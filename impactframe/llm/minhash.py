@@ -17,7 +17,8 @@ How work stays bounded:
 * Sets are recomputed from text for candidate documents only.
 
 With similarity s a link is missed if one collection has no common key: at most
-``2 * (1 - s**rows) ** tables``, 1.1e-5 at 0.85 with the defaults and less above.
+``2 * (1 - s**rows) ** tables``. ``tables`` is chosen so that this is at most ``MISS`` at the
+threshold (13 at 0.85, 18 at 0.8); above it, it is less.
 """
 
 from __future__ import annotations
@@ -34,11 +35,13 @@ from .components import connected_components
 from .storage import broadcast_if_small, durable, map_batches
 
 ROWS = 3
-TABLES = 13
+MISS = 1e-5
 STAR_ROUNDS = 1
 #: Leaders a document is compared with in one round, and 64-bit words of a set's bitmap.
 OFFERS = 8
 BITMAP = 16
+#: Steps of merging components between rounds.
+EARLY_STEPS = 2
 _SIGNED = pa.int64()
 
 
@@ -118,7 +121,16 @@ def _sets(batches: Iterable[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
             )
 
 
-def signatures(docs: DataFrame, k: int, rows: int = ROWS, tables: int = TABLES) -> DataFrame:
+def tables_for(percent: int, rows: int = ROWS, miss: float = MISS) -> int:
+    """Least number of keys in a collection with a chance of at most ``miss``."""
+    alone = 1 - (percent / 100) ** rows
+    tables = 1
+    while 2 * alone**tables > miss:
+        tables += 1
+    return tables
+
+
+def signatures(docs: DataFrame, k: int, tables: int, rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, s1, s2, keys): set size, 128-bit set digest, and the keys of
     the two collections one after the other (none for an empty set)."""
     narrow = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
@@ -203,9 +215,7 @@ def _across(labelled: DataFrame, sides: DataFrame, bitmaps: DataFrame, percent:
     )
 
 
-def near_duplicates(
-    docs: DataFrame, k: int = 5, percent: int = 80, rows: int = ROWS, tables: int = TABLES
-) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``: components of
     documents whose sets of k-word shingles have a Jaccard similarity of ``percent`` / 100
     or more; the least doc_id of a component names it and is kept.
@@ -213,19 +223,16 @@ def near_duplicates(
     Null and empty texts have an empty set, link with nothing and are kept; a row without
     doc_id is never linked, has a null component and is kept; rows that repeat a doc_id are
     one document, so all of them are linked as one; an empty table gives no rows."""
-    signed = durable(signatures(docs, k, rows, tables))
+    tables = tables_for(percent, rows)
+    signed = durable(signatures(docs, k, tables, rows))
     usable = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = durable(usable.groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("node")))
-    member = usable.select("doc_id", "n_shingles", "s1", "s2").join(classes, ["n_shingles", "s1", "s2"])
+    classes = durable(
+        usable.groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("node"), F.min_by("keys", "doc_id").alias("keys"))
+    )
+    member = usable.select("doc_id", "n_shingles", "s1", "s2").join(classes.drop("keys"), ["n_shingles", "s1", "s2"])
     same = member.where("doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v")).distinct()
 
-    # one signature for each class: the row that names it
-    chosen = usable.join(
-        classes.withColumnRenamed("node", "doc_id"), ["doc_id", "n_shingles", "s1", "s2"], "left_semi"
-    ).dropDuplicates(["doc_id", "s1", "s2"])
-    listed = chosen.select(
-        F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), F.posexplode("keys").alias("at", "key")
-    ).select("node", "n", "key", (F.col("at") < tables).alias("first"))
+    listed = classes.select("node", F.col("n_shingles").alias("n"), F.posexplode("keys").alias("at", "key")).select("node", "n", "key", (F.col("at") < tables).alias("first"))
     listed = durable(listed)
     shared = listed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
     useful = listed.join(shared.select("key"), "key", "left_semi")
@@ -262,6 +269,7 @@ def near_duplicates(
             )
             labelled = durable(labelled.join(mixed.select("bucket"), "bucket", "left_semi"))
             if labelled.isEmpty():
+                labels = durable(connected_components(links))
                 break
         if turn < STAR_ROUNDS:
             pairs = _asked(labelled, bitmaps, turn, percent)
@@ -271,7 +279,9 @@ def near_duplicates(
         pairs = durable(pairs)
         found = durable(_confirmed(pairs, sets, percent))
         links = durable(links.unionByName(found)) if turn == 0 else links.unionByName(found)
-        labels = durable(connected_components(links))
+        # before the last round it is enough that labels join only what is connected
+        last = turn == STAR_ROUNDS
+        labels = durable(connected_components(links, None if last else EARLY_STEPS))
     answer = signed.select("doc_id", "n_shingles").join(labels, F.col("doc_id") == F.col("node"), "left")
     component = F.coalesce("component", "doc_id")
     return answer.select(
