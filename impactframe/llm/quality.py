@@ -133,10 +133,14 @@ def score_documents(
     Null text counts as empty and fails; a null source is a host of its own; repeated rows
     are judged alike and each is returned; an empty table gives no rows."""
     spark = docs.sparkSession
-    named = [c for c in docs.columns if c not in {*METRICS, "base_failed", "n_removed_words", "kept", "clean_text"}]
-    host = F.coalesce(docs["source"].cast("string"), F.lit("\x00")) if "source" in docs.columns else F.lit("\x00")
-    own = docs.select(*[docs[c] for c in named]).withColumns(
-        {"_text": F.coalesce(F.col("text"), F.lit("")), "_host": host}
+    made = [*METRICS, "base_failed", "n_removed_words", "kept", "clean_text"]
+    named = [c for c in docs.columns if c not in made]
+    host = docs["source"].cast("string") if "source" in docs.columns else F.lit(None).cast("string")
+    # the table's own columns go by number, so that none can clash with those made here
+    own = docs.select(
+        *[docs[c].alias(f"_d{i}") for i, c in enumerate(named)],
+        F.coalesce(docs["text"], F.lit("")).alias("_text"),
+        F.coalesce(host, F.lit("\x00")).alias("_host"),
     )
     frequent = durable(frequent_lines(own.select("_host", "_text"), min_docs, doc_share))
     weight = frequent.agg(F.sum(F.size("_lines") + 1)).first()[0] or 0
@@ -170,7 +174,7 @@ def score_documents(
     left = F.col("n_words") - F.col("n_removed_words")
     depleted = (left < MIN_WORDS) | (100 * F.col("n_removed_words") > max_removed * F.col("n_words"))
     kept = ~F.col("base_failed") & ~depleted & (F.col("_row") >= 0)
-    return scored.withColumn("kept", kept).drop("_text", "_host", "_lines", "_removed", "_row")
+    return scored.withColumn("kept", kept).select(*[F.col(f"_d{i}").alias(c) for i, c in enumerate(named)], *made)
 
 
 def oracle(min_docs: int = MIN_DOCS, doc_share: float = DOC_SHARE, max_removed: int = MAX_REMOVED_PERCENT) -> str:

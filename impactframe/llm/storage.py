@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 
 _written: dict[str, list[str]] = {}
+_local: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,9 +31,9 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="impactframe-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    if "" not in _local:
+        _local[""] = tempfile.mkdtemp(prefix="impactframe-")
+    return _local[""]
 
 
 def durable(df: DataFrame) -> DataFrame:

@@ -154,7 +154,7 @@ def test_quality(documents):
     rows += [(100 + i, "\n".join([boiler] * 3 + [own(100 + i, 45)]), "en", "hot") for i in range(5)]
     rows += [(200, None, "en", None), (201, "", "en", "x"), (202, "a b c " * 30, "en", "x"), (203, "é # * $ one\x0btwo\n\n é # * $ one\x0btwo", "en", "x")]
     rows += [(300 + i, rows[0][1], "en", "hot") for i in range(30)] + [(204, "w " * 3 + own(900, 70), None, "hot")]
-    out = {r["doc_id"]: r for r in quality.score_documents(documents(rows, ["lines", "kept", "_x"])).collect()}
+    out = {r["doc_id"]: r for r in quality.score_documents(documents(rows, ["lines", "kept", "_text", "_host", "_row"])).collect()}
     assert len(out) == len(rows)
     for doc_id, text, _, _ in rows:
         r = out[doc_id]
