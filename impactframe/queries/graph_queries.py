@@ -9,13 +9,12 @@ from ..operators import diff, graph
 from . import registry
 
 EDGES = """e as (select distinct src, dst from (select l_partkey src, lead(l_partkey) over (partition by l_orderkey
-  order by l_linenumber, l_partkey, l_suppkey, l_quantity) dst from lineitem where l_orderkey % 11 = 0) where dst is not null and src <> dst)"""
+  order by l_linenumber, l_partkey, l_suppkey, l_quantity) dst from lineitem) where dst is not null and src <> dst)"""
 
 
 def part_edges(t):
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
-    items = t("lineitem").where("l_orderkey % 11 = 0")
-    pairs = items.select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(order).alias("dst"))
+    pairs = t("lineitem").select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(order).alias("dst"))
     return pairs.where("dst is not null and src <> dst").distinct()
 
 
@@ -30,7 +29,7 @@ def reverse_closure(t):
 
 
 @registry.add(f"""with recursive {EDGES}, r(node, lvl) as (select 0::bigint, 0 union select e.dst, r.lvl + 1 from r join e on r.node = e.src
-  where r.lvl < 40) select node, min(lvl) as level from r group by 1""")
+  where r.lvl < 16) select node, min(lvl) as level from r group by 1""")
 def bfs_levels(t):
     return graph.bfs_levels(part_edges(t), seeds(t, 0)).select("node", "level")
 
@@ -42,16 +41,14 @@ def induced_edges(t):
     return graph.induced_edges(edges, graph.reverse_closure(edges, seeds(t, 0))).select("src", "dst")
 
 
-@registry.add(f"""with recursive {EDGES.replace('% 11 = 0', '% 101 = 0')}, a(node) as (select x from (values (1::bigint), (5), (9), (13), (17), (21)) v(x)
-  union select e.src from a join e on a.node = e.dst),
-b(node) as (select x from (values (2::bigint), (4)) v(x) union select e.src from b join e on b.node = e.dst)
-select node from a where node not in (select node from b) and node not in (1, 5, 9, 13, 17, 21)""")
+@registry.add("""with recursive e as (select p_partkey src, p_partkey // 2 dst from part where p_partkey > 0),
+a(node) as (select x from (values (3::bigint), (5)) v(x) union select e.src from a join e on a.node = e.dst),
+b(node) as (select x from (values (6::bigint), (11)) v(x) union select e.src from b join e on b.node = e.dst)
+select node from a where node not in (select node from b) and node not in (3, 5)""")
 def closure_difference(t):
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
-    items = t("lineitem").where("l_orderkey % 101 = 0")
-    edges = items.select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(order).alias("dst"))
-    edges = edges.where("dst is not null and src <> dst").distinct()
-    return graph.closure_difference(edges, seeds(t, 1, 5, 9, 13, 17, 21), seeds(t, 2, 4))
+    """Every part depends on the part of half its number."""
+    edges = t("part").where("p_partkey > 0").select(F.col("p_partkey").alias("src"), F.expr("p_partkey div 2").alias("dst"))
+    return graph.closure_difference(edges, seeds(t, 3, 5), seeds(t, 6, 11))
 
 
 SNAPSHOTS = """b as (select o_orderkey k, o_totalprice v from orders where o_orderkey % 10 <> 0),
