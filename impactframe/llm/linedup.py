@@ -24,6 +24,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -231,10 +232,13 @@ def _cleaned(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n = batch.num_columns - 2
         texts, runs = batch.column(n), batch.column(n + 1)
-        clean, lines, spans = texts.to_pylist(), [0] * batch.num_rows, [0] * batch.num_rows
-        for i in np.flatnonzero(runs.is_valid().to_numpy(zero_copy_only=False)):
-            clean[i], lines[i], spans[i] = without_runs(clean[i], runs[i].as_py())
-        made = [pa.array(clean, pa.string()), pa.array(lines, pa.int64()), pa.array(spans, pa.int64())]
+        lines, spans, changed = [0] * batch.num_rows, [0] * batch.num_rows, []
+        listed = runs.is_valid()
+        for i in np.flatnonzero(listed.to_numpy(zero_copy_only=False)):
+            text, lines[i], spans[i] = without_runs(texts[int(i)].as_py(), runs[int(i)].as_py())
+            changed.append(text)
+        clean = pc.replace_with_mask(texts, listed, pa.array(changed, texts.type))
+        made = [clean, pa.array(lines, pa.int64()), pa.array(spans, pa.int64())]
         names = [*batch.schema.names[:n], "clean_text", "n_removed", "n_runs"]
         yield pa.RecordBatch.from_arrays([*batch.columns[:n], *made], names)
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .storage import map_batches
+from .storage import map_batches, worker_cache
 
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
@@ -30,6 +30,10 @@ SCHEMA = (
 WINDOW = 2048
 END_ID = 1
 MAX_OPEN = 4096
+#: Entries of the tokenizer's caches, about 200 bytes each. They stay in a Python worker
+#: for its later tasks.
+CACHED_RUNS = 400_000
+CACHED_CHUNKS = 150_000
 #: Sequence ids of partition p are p * 2**SEQUENCE_BITS and up.
 SEQUENCE_BITS = 36
 
@@ -48,12 +52,13 @@ class WordTokenizer:
     in caches that take no more entries once full; a chunk with anything but common Latin characters, or with part of
     a special token, is given to the tokenizer whole."""
 
-    def __init__(self, path: str, cache: int = 600_000):
+    def __init__(self, path: str, cached_runs: int = CACHED_RUNS, cached_chunks: int = CACHED_CHUNKS):
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model, self.cache = self.tokenizer.model, cache
+        self.model = self.tokenizer.model
+        self.cached_runs, self.cached_chunks = cached_runs, cached_chunks
         self.chunks: dict[str, bytes] = {"": b""}
         self.runs: dict[str, bytes] = {}
         self.plain = regex.compile(r"[\x21-\x7e\xa1-ɏ]+").fullmatch
@@ -65,7 +70,7 @@ class WordTokenizer:
     def _run(self, run: str) -> bytes:
         text = run if run.isascii() else "".join([self.letters[b] for b in run.encode()])
         ids = np.array([t.id for t in self.model.tokenize(text)], "<u4").tobytes()
-        if len(self.runs) < self.cache:
+        if len(self.runs) < self.cached_runs:
             self.runs[run] = ids
         return ids
 
@@ -76,7 +81,7 @@ class WordTokenizer:
             ids = b"".join([runs.get(r) or self._run(r) for r in self.split(lower)])
         else:
             ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self.chunks) < self.cache:
+        if len(self.chunks) < self.cached_chunks:
             self.chunks[chunk] = ids
         return ids
 
@@ -89,14 +94,12 @@ class WordTokenizer:
             return b"".join([ids if (ids := self.chunks.get(p)) is not None else self._chunk(p) for p in parts])
 
 
-_tokenizers: dict[str, WordTokenizer] = {}
-
-
 def tokenizer(path: str) -> WordTokenizer:
     """One tokenizer with its caches for each Python worker."""
-    if path not in _tokenizers:
-        _tokenizers[path] = WordTokenizer(path)
-    return _tokenizers[path]
+    kept = worker_cache(__name__)
+    if path not in kept:
+        kept[path] = WordTokenizer(path)
+    return kept[path]
 
 
 class LevelPacker:

@@ -79,7 +79,30 @@ def map_batches(df: DataFrame, function: Callable[[Iterable], Iterator], schema:
     path = environment.get("PYTHONPATH", "")
     if root not in path.split(os.pathsep):
         environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, path]))
-    return df.mapInArrow(function, schema)
+    owner = function.__module__
+    return df.mapInArrow(lambda batches: _in_worker(owner, function, batches), schema)
+
+
+#: What operators keep in a Python worker for its later tasks.
+_caches: dict[str, dict] = {}
+
+
+def worker_cache(owner: str) -> dict:
+    """The cache of one operator in this Python worker. Those of other operators are
+    dropped, so that workers which serve several do not add them up."""
+    for other in [name for name in _caches if name != owner]:
+        del _caches[other]
+    return _caches.setdefault(owner, {})
+
+
+def _in_worker(owner: str, function: Callable[[Iterable], Iterator], batches: Iterable) -> Iterator:
+    worker_cache(owner)
+    try:
+        yield from function(batches)
+    finally:
+        import pyarrow
+
+        pyarrow.default_memory_pool().release_unused()
 
 
 def partitions(spark: SparkSession) -> int:

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 _rng = np.random.default_rng(20240607)
 _BYTE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
@@ -36,7 +36,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
-        size = max(n, 2 * SLICE_BYTES)
+        size = max(n, SLICE_BYTES + 1)
         for k, base in enumerate((_P, _P_INV)):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
