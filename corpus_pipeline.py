@@ -26,7 +26,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Delete later copies of line runs, and documents that were nothing else."""
-    cleaned = linedup.deduplicate_lines(docs)
+    cleaned = linedup.deduplicate_lines(docs, edges=True)
     left = cleaned.where((F.col("n_removed") == 0) | (F.col("clean_text") != ""))
     return _with_text(left, docs.columns, "clean_text")
 

@@ -13,6 +13,12 @@ run's first line covers the run up to where that many words are passed, and from
 each line ends a backward window that lies in the run. So a depth of ``MIN_WORDS`` lines
 decides everything, and a window of L lines is named by two ranks of depth 2**k <= L.
 
+With ``edges``, equal words beside a line count too, up to inside the lines around it: a line
+is also deleted if a passage of ``MIN_WORDS`` words that holds it starts earlier, with the
+same whole line at the same place in it. One of the two sides of the line then has half of
+the words that it lacks, so lines are first compared by those two halves, and windows are
+made only for the lines of halves that have a line which the runs left.
+
 Scale: only suffixes that still share a prefix go on to the next depth. Ranks come from a
 range-partitioned sort of the distinct pairs, with one count for each partition brought
 together; a line that is in a third of all documents is one row after partial aggregation.
@@ -62,12 +68,30 @@ def _windows(words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     return forward, backward
 
 
-_LINES = f"{_DOC_KEY}, line int, h1 long, h2 long, forward int, backward int"
+def _half_sides(words: list[bytes], counts: np.ndarray, least: int) -> tuple[list, list]:
+    """For each line of fewer than ``least`` words a hash of the half (rounded up) of the
+    words that it lacks, right before it and right after it; None where there are too few."""
+    before: list[int | None] = []
+    after: list[int | None] = []
+    import xxhash
+
+    begin = 0
+    for count in counts.tolist():
+        half, end = (least - count + 1) // 2, begin + count
+        left = half > 0 and begin >= half
+        right = half > 0 and end + half <= len(words)
+        before.append(_signed(xxhash.xxh3_64_intdigest(b" ".join(words[begin - half : begin]))) if left else None)
+        after.append(_signed(xxhash.xxh3_64_intdigest(b" ".join(words[end : end + half]))) if right else None)
+        begin = end
+    return before, after
+
+
+_LINES = f"{_DOC_KEY}, line int, h1 long, h2 long, forward int, backward int, before long, after long"
 
 
-def _lines(batches: Iterable[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+def _lines(batches: Iterable[pa.RecordBatch], least: int, edges: bool) -> Iterator[pa.RecordBatch]:
     """One row for each line with a word, numbered among those."""
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
     names = [part.split()[0] for part in _LINES.split(", ")]
     for batch in batches:
         out: list[list] = [[] for _ in names]
@@ -83,7 +107,8 @@ def _lines(batches: Iterable[pa.RecordBatch], least: int) -> Iterator[pa.RecordB
             if n >> LINE_BITS:
                 raise ValueError(f"document {doc_id} has more lines than {LINE_BITS} bits number")
             ids = [_halves(line) for line in lines]
-            columns = ([doc_id] * n, [t1] * n, [t2] * n, range(n), *zip(*ids, strict=True), forward, backward)
+            sides = _half_sides(raw.split(), words, least) if edges else ([None] * n, [None] * n)
+            columns = ([doc_id] * n, [t1] * n, [t2] * n, range(n), *zip(*ids, strict=True), forward, backward, *sides)
             for kept, column in zip(out, columns, strict=True):
                 kept.extend(column)
             if len(out[0]) >= 50_000:
@@ -138,21 +163,77 @@ def suffix_ranks(first: DataFrame, depth: int) -> dict[int, DataFrame]:
     return ranks
 
 
-def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def _edge_windows(batches: Iterable[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """(p, h1, h2) for each window of ``least`` words that holds a listed line whole, by a
+    hash of the line, its place in the window, and the window's words."""
+    import xxhash
+
+    names = ["p", "h1", "h2"]
+    for batch in batches:
+        out: list[list] = [[], [], []]
+        for text, doc, listed in zip(*[batch.column(i) for i in range(3)], strict=True):
+            raw, doc = text.as_py().encode(), doc.as_py()
+            lines = [line for line in raw.split(b"\n") if line.strip(_BLANK)]
+            words = raw.split()
+            total = np.concatenate([[0], np.cumsum([len(line.split()) for line in lines])]).tolist()
+            for at in listed.as_py():
+                begin, end = total[at], total[at + 1]
+                seed = xxhash.xxh3_128_digest(lines[at])
+                for start in range(max(0, end - least), min(begin, len(words) - least) + 1):
+                    window = b" ".join([seed, b"%d" % (begin - start), *words[start : start + least]])
+                    for column, value in zip(out, ((doc << LINE_BITS) + at, *_halves(window)), strict=True):
+                        column.append(value)
+            if len(out[0]) >= 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names)
+                out = [[], [], []]
+        if out[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names)
+
+
+def edge_lines(placed: DataFrame, gone: DataFrame, documents: DataFrame, docs: DataFrame, min_words: int) -> DataFrame:
+    """(p) of the lines, other than those of ``gone`` (p), that lie in a passage of
+    ``min_words`` words with an earlier copy in which the line is whole too."""
+    side = placed.select("p", "rank", F.lit(0).alias("side"), F.col("before").alias("half")).unionByName(
+        placed.select("p", "rank", F.lit(1).alias("side"), F.col("after").alias("half"))
+    )
+    key = ["rank", "side", "half"]
+    side = side.where("half is not null")
+    firsts = durable(side.groupBy(*key).agg(F.min("p").alias("first"), F.count("*").alias("n")).where("n > 1"))
+    alike = durable(side.join(broadcast_if_small(firsts), key).select("p", *key, "first"))
+    still = durable(alike.where("p > first").join(gone, "p", "left_anti").select("p", *key))
+    asked = durable(alike.join(broadcast_if_small(durable(still.select(*key).distinct())), key, "left_semi").select("p").distinct())
+    line = F.col("p").bitwiseAND((1 << LINE_BITS) - 1).cast("int")
+    listed = asked.groupBy(F.shiftright("p", LINE_BITS).alias("doc")).agg(F.collect_list(line).alias("lines"))
+    listed = durable(listed.join(documents, "doc"))
+    texts = _keyed(docs)
+    own = texts.join(broadcast_if_small(listed), _same_document(texts, listed))
+    # rows that repeat a document give the same windows again
+    windows = durable(
+        map_batches(own.select("text", "doc", "lines"), lambda it: _edge_windows(it, min_words), "p long, h1 long, h2 long")
+    )
+    least = windows.groupBy("h1", "h2").agg(F.min("p").alias("least"), F.max("p").alias("most")).where("least < most")
+    least = durable(least.drop("most"))
+    later = windows.join(broadcast_if_small(least), ["h1", "h2"]).where("p > least").select("p").distinct()
+    return later.join(still.select("p").distinct(), "p", "left_semi")
+
+
+def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, edges: bool = False) -> DataFrame:
     """(doc_id, t1, t2, runs) of documents with lines to delete: ``runs`` holds the first
     and the end line (excluded) of one window after the other, lines with a word counted
     from 0; t1 and t2 are hashes of the text."""
-    lines = durable(map_batches(_keyed(docs), lambda it: _lines(it, min_words), _LINES))
+    lines = durable(map_batches(_keyed(docs), lambda it: _lines(it, min_words, edges), _LINES))
     counted = lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1")
     named = dense_rank(counted.select("h1", "h2"), "h1", "h2")
     # rows that repeat a document (doc_id and text) are one; two documents of one text, two
     some = durable(
-        lines.join(named, ["h1", "h2"]).select(*_KEY, "line", "rank", "forward", "backward").distinct()
+        lines.join(named, ["h1", "h2"])
+        .select(*_KEY, "line", "rank", "forward", "backward", "before", "after")
+        .distinct()
     )
     documents = durable(dense_rank(some.select(*_KEY).distinct(), *_KEY).withColumnRenamed("rank", "doc"))
     joined = some.join(documents, _same_document(some, documents))
     position = F.shiftleft(documents["doc"], LINE_BITS) + some["line"]
-    placed = durable(joined.select(position.alias("p"), some["rank"], "forward", "backward"))
+    placed = durable(joined.select(position.alias("p"), some["rank"], "forward", "backward", "before", "after"))
 
     depth = min_words.bit_length() - 1
     ranks = suffix_ranks(placed.select("p", "rank"), depth)
@@ -181,6 +262,15 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     intervals = later.select(
         F.shiftright("s", LINE_BITS).alias("doc"), line.alias("from"), (line + F.col("size")).alias("to")
     )
+    if edges:
+        intervals = durable(intervals)
+        inside = F.explode(F.sequence("from", F.col("to") - 1)).alias("line")
+        gone = intervals.distinct().select("doc", inside).distinct()
+        gone = gone.select((F.shiftleft("doc", LINE_BITS) + F.col("line")).alias("p"))
+        more = edge_lines(placed, gone, documents, docs, min_words)
+        line = F.col("p").bitwiseAND((1 << LINE_BITS) - 1).cast("int")
+        more = more.select(F.shiftright("p", LINE_BITS).alias("doc"), line.alias("from"), (line + 1).alias("to"))
+        intervals = intervals.unionByName(more)
     listed = intervals.groupBy("doc").agg(
         F.flatten(F.sort_array(F.collect_list(F.array("from", "to")))).alias("runs")
     )
@@ -243,15 +333,15 @@ def _cleaned(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:n], *made], names)
 
 
-def deduplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def deduplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS, edges: bool = False) -> DataFrame:
     """``docs`` with ``clean_text``, ``n_removed`` (lines) and ``n_runs`` added (columns of
-    these names are replaced).
+    these names are replaced). With ``edges``, equal words beside whole lines count too.
 
     Null text is empty and stays so; a null doc_id comes after all others; rows that repeat
     doc_id and text are one document and are cleaned alike, while equal texts under
     different ids are copies, of which the first stays; an empty table gives no rows."""
     own = docs.drop("clean_text", "n_removed", "n_runs")
-    runs = durable(repeated_runs(own, min_words))
+    runs = durable(repeated_runs(own, min_words, edges))
     text = F.coalesce(own["text"], F.lit(""))
     wide = own.select(
         *[own[c].alias(f"_d{i}") for i, c in enumerate(own.columns)],

@@ -55,7 +55,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = linedup.deduplicate_lines(table(spark, sf_dir, "documents"))
+    cleaned = linedup.deduplicate_lines(table(spark, sf_dir, "documents"), edges=True)
     return cleaned.select(
         "doc_id",
         "n_removed",

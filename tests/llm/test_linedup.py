@@ -68,3 +68,49 @@ def test_same_row_twice_is_one_document(spark, documents):
 def test_repeats_within_a_document_overlap(spark, documents):
     out = linedup.deduplicate_lines(documents([(1, "\n".join(["a b"] * 7))]), 4).collect()[0]
     assert out["clean_text"] == "a b"
+
+
+def brute_edges(docs, least):
+    """``brute``, and lines with ``least`` equal words around them and an earlier copy."""
+    gone = brute(docs, least)
+    seen = []
+    for d in sorted(gone, key=lambda d: (d[0] is None, d[0] or 0, d[1] or "")):
+        words, at = d[1].split(), 0
+        for i, line in enumerate(worded(d[1])):
+            n = len(line.split())
+            for other, words2, at2 in seen:
+                if other != line:
+                    continue
+                left = right = 0
+                while left < min(at, at2) and words[at - left - 1] == words2[at2 - left - 1]:
+                    left += 1
+                while at + n + right < len(words) and at2 + n + right < len(words2) and words[at + n + right] == words2[at2 + n + right]:
+                    right += 1
+                if n < least <= left + n + right:
+                    gone[d].add(i)
+            seen.append((line, words, at))
+            at += n
+    return gone
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_edges_equal_brute_force(spark, documents, seed):
+    rng = random.Random(10 + seed)
+    pool = [" ".join(rng.choice("abc") for _ in range(rng.randint(1, 4))) for _ in range(12)]
+    rows = [(d * 3, "\n".join(rng.choice([*pool, f"own{d}", ""]) for _ in range(rng.randint(0, 10)))) for d in range(25)]
+    rows += [(100, rows[3][1]), (100, rows[3][1])]
+    least = [6, 9][seed]
+    want = brute_edges(rows, least)
+    assert want != brute(rows, least)
+    for r in linedup.deduplicate_lines(documents(rows), least, edges=True).collect():
+        gone = want[(r["doc_id"], r["text"])]
+        assert worded(r["clean_text"]) == [x for i, x in enumerate(worded(r["text"])) if i not in gone], r
+
+
+def test_equal_words_beside_a_line_count(spark, documents):
+    words = [f"w{i}" for i in range(59)]
+    text = lambda a, b: f"{a} {' '.join(words[:17])}\n{' '.join(words[17:42])}\n{' '.join(words[42:])} {b}"
+    rows = [(1, text("one", "two")), (2, text("three", "four")), (3, "x\n" + " ".join(words[17:42]) + "\ny")]
+    got = {r["doc_id"]: r for r in linedup.deduplicate_lines(documents(rows), edges=True).collect()}
+    assert [got[i]["n_removed"] for i in (1, 2, 3)] == [0, 1, 0]
+    assert worded(got[2]["clean_text"]) == [worded(rows[1][1])[0], worded(rows[1][1])[2]]
