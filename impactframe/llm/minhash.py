@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from . import textnum
 from .components import connected_components
+from .linedup import dense_rank
 from .storage import broadcast_if_small, durable, map_batches
 
 ROWS = 3
@@ -294,10 +295,39 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` without the near-duplicates of kept documents. Rows repeating a doc_id
-    become one; rows without doc_id stay."""
-    dropped = durable(near_duplicates(docs, k, percent).where(~F.col("kept")).select("doc_id"))
-    left = docs.join(dropped, docs["doc_id"] == dropped["doc_id"], "left_anti")
-    return left
+    become one, that of the least text hash. Rows without doc_id are documents by their
+    text, numbered behind the greatest doc_id; of them those without a word all stay."""
+    text = F.coalesce(docs["text"], F.lit(""))
+    columns = [f"_d{i}" for i in range(len(docs.columns))]
+    keyed = docs.select(
+        *[docs[c].alias(d) for c, d in zip(docs.columns, columns, strict=True)],
+        docs["doc_id"].cast("long").alias("doc_id"),
+        docs["text"].alias("text"),
+        F.xxhash64(text).alias("t1"),
+        F.xxhash64(F.lit("#"), text).alias("t2"),
+    )
+    nameless = F.col("doc_id").isNull() & F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    greatest, n = keyed.agg(F.max("doc_id"), F.count(F.when(F.col("doc_id").isNull(), 1))).first()
+    if n:
+        unnamed = dense_rank(durable(keyed.where(nameless).select("t1", "t2").distinct()), "t1", "t2")
+        unnamed = durable(unnamed.select("t1", "t2", (F.col("rank") + F.lit((-1 if greatest is None else greatest) + 1)).alias("_node")))
+        # null hashes on rows that have a doc_id or no word, so that these match nothing
+        asked = keyed.withColumns({c: F.when(nameless, F.col(c)) for c in ("t1", "t2")})
+        met = asked.join(broadcast_if_small(unnamed), ["t1", "t2"], "left")
+        keyed = met.select(*columns, F.coalesce("doc_id", "_node").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("t1"), F.xxhash64(F.lit("#"), F.coalesce("text", F.lit(""))).alias("t2"))
+    dropped = durable(near_duplicates(keyed.select("doc_id", "text"), k, percent).where(~F.col("kept")).select("doc_id"))
+    left = keyed.join(dropped, "doc_id", "left_anti")
+    counted = keyed.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"))
+    again = durable(counted.where("n > 1").select("doc_id"))
+    once = left
+    if not again.isEmpty():
+        once = left.join(broadcast_if_small(again), "doc_id", "left_anti")
+    out = once.select(*[F.col(d).alias(c) for c, d in zip(docs.columns, columns, strict=True)])
+    if once is left:
+        return out
+    row = F.min_by(F.struct(*columns), F.struct("t1", "t2")).alias("row")
+    several = left.join(broadcast_if_small(again), "doc_id", "left_semi").groupBy("doc_id").agg(row)
+    return out.unionByName(several.select(*[F.col("row")[d].alias(c) for c, d in zip(docs.columns, columns, strict=True)]))
 
 
 ORACLE = r"""

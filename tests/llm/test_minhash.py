@@ -59,6 +59,20 @@ def test_edges(documents):
     assert {r["doc_id"] for r in minhash.keep_one(documents(rows[1:3])).collect()} == {7}
 
 
+def test_keep_one_leaves_one_row_of_a_document(documents):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(7, a), (7, a), (8, b), (None, c), (None, c), (None, b + " end"), (9, "two"), (9, "texts"), (None, None), (None, "")]
+    docs = documents(rows, ["t1", "row"])
+    out = minhash.keep_one(docs)
+    assert out.dtypes == docs.dtypes
+    got = [(r["doc_id"], r["text"]) for r in out.collect()]
+    nine = [r for r in got if r[0] == 9]
+    assert len(nine) == 1 and nine[0] in rows
+    assert sorted(set(got) - set(nine), key=str) == sorted([(7, a), (8, b), (None, c), (None, None), (None, "")], key=str)
+    assert len(got) == 6
+    assert len(minhash.keep_one(documents([(None, a), (None, a)])).collect()) == 1
+
+
 def test_bitmap_bound_keeps_links():
     import numpy as np
 
