@@ -53,7 +53,8 @@ NOTICES = {
     "cc0 1 0 universal": "cc0",
 }
 TAG = "spdx license identifier"
-_TAG_TEXT = re.compile(r"SPDX-License-Identifier:[ \t]*([^\n\r]{0,1000})", re.IGNORECASE)
+_TAG_TEXT = re.compile(r"SPDX-License-Identifier:[ \t]*", re.IGNORECASE)
+_LINE_END = re.compile(r"[\n\r]")
 _TOKEN = re.compile(r"\(|\)|[A-Za-z0-9][A-Za-z0-9.+\-]*")
 _PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 
@@ -142,8 +143,13 @@ def scan_text(text: str, found) -> tuple:
             labels.add(label)
     expressions: list[str] = []
     if tagged:
-        for m in _TAG_TEXT.finditer(text):
-            if parsed := parse_expression(m[1]):
+        tags = list(_TAG_TEXT.finditer(text))
+        stops = [m.start() for m in tags[1:]] + [len(text)]
+        for m, stop in zip(tags, stops, strict=True):
+            # up to the line's end or the next tag, whichever is first
+            if end := _LINE_END.search(text, m.end(), stop):
+                stop = end.start()
+            if parsed := parse_expression(text[m.end() : stop]):
                 labels.update(parsed[0])
                 expressions.append(parsed[1])
     evidence = len(base_hits) + n_method + 2 * len(expressions)

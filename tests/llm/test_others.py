@@ -135,6 +135,17 @@ def test_expressions(text, postfix):
     assert (got and got[1]) == postfix
 
 
+def test_tags_are_read_one_by_one_and_whole(documents):
+    many = " OR ".join(f"LicenseRef-number-{i}" for i in range(200))
+    tag = "SPDX-License-Identifier:"
+    rows = [(1, f"{tag} MIT and text {tag} GPL-2.0-only"), (2, f"{tag} ({many})\nmore"), (3, f"{tag}\rMIT {tag} {tag} ISC\n")]
+    out = {r["doc_id"]: r for r in licenses.scan_licenses(documents(rows)).collect()}
+    assert "gpl-2.0-only" in out[1]["labels"].split(",")
+    assert out[1]["expressions"] == "mit text and; gpl-2.0-only"
+    assert set(out[2]["labels"].split(",")) == {f"licenseref-number-{i}" for i in range(200)}
+    assert out[3]["expressions"] == "isc"
+
+
 # quality rules
 
 
