@@ -19,10 +19,10 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import map_batches
+from .storage import broadcast_if_small, durable, map_batches
 
 HIDDEN = 8
 SEGMENT = 112
@@ -255,25 +255,28 @@ def _predicted(batches: Iterable[pa.RecordBatch], model: Model) -> Iterator[pa.R
 
 
 def fit(docs: DataFrame, rows: int = TRAIN_ROWS, steps: int = STEPS) -> Model | None:
-    """Train on at most ``rows`` rows that are not held out, chosen by a hash of doc_id; of
-    each a run of ``TRAIN_CHARS`` characters from a hashed place anywhere in its text is
+    """Train on at most ``rows`` rows that are not held out, as many of each language at most,
+    chosen by a hash of doc_id, so that every language is learnt up to ``rows`` of them; of each a run of ``TRAIN_CHARS`` characters from a hashed place anywhere in its text is
     brought to the driver. None without labelled rows."""
     usable = docs.where(docs["lang"].isNotNull() & docs["text"].isNotNull() & ~held_out(docs["doc_id"]))
     hashed = F.xxhash64("doc_id")
     spare = F.greatest(F.length("text") - TRAIN_CHARS, F.lit(0)) + 1
     at = F.pmod(F.xxhash64(hashed), spare.cast("long")).cast("int") + 1
-    # hashes first, so that texts of the chosen rows alone are moved
-    last = usable.select(hashed.alias("h")).orderBy("h").limit(rows).agg(F.max("h")).first()[0]
-    if last is None:
+    # hashes first, so that texts of the chosen rows alone are moved: rows are counted by the
+    # hash's high bits, and of each language the first cells that hold its share are read
+    cell = F.shiftright(hashed, 52).alias("cell")
+    cells = durable(usable.groupBy("lang", cell).agg(F.count("*").alias("n")))
+    languages = cells.select("lang").distinct().count()
+    if not languages:
         return None
-    drawn = (
-        usable.where(hashed <= last).select(
-            hashed.alias("h"), F.substring(F.col("text"), at, F.lit(TRAIN_CHARS)).alias("text"), F.col("lang")
-        )
-        .orderBy("h", "text")
-        .limit(rows)
-        .collect()
-    )
+    share = max(1, rows // languages)
+    before = F.sum("n").over(Window.partitionBy("lang").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))
+    first = cells.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < share).select("lang", "cell")
+    chosen = usable.withColumn("cell", cell).join(broadcast_if_small(durable(first)), ["lang", "cell"], "left_semi")
+    runs = chosen.select(hashed.alias("h"), F.substring(F.col("text"), at, F.lit(TRAIN_CHARS)).alias("text"), F.col("lang"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text")).alias("place")
+    drawn = runs.select("*", place).where(F.col("place") <= share).orderBy("place", "h", "text").limit(rows).collect()
+    drawn = sorted(drawn, key=lambda r: (r["h"], r["text"]))
     return train([r["text"] for r in drawn], [r["lang"] for r in drawn], steps)
 
 

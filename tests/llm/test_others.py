@@ -236,6 +236,14 @@ def test_language(documents):
     assert langid.identify(documents([])).count() == 0
 
 
+def test_rare_language_is_learnt(documents):
+    ids = [i for i in range(400) if not langid.is_held_out(i)]
+    rows = [(i, "the ing oun", "aa", "s") for i in ids[:-1]]
+    # the hash of a null doc_id is far from the 20 least
+    docs = documents([*rows, (ids[-1], "sch ung", "bb", "s"), (None, "eau oui", "cc", "s")])
+    assert set(langid.fit(docs, rows=20, steps=1).labels) == {"aa", "bb", "cc"}
+
+
 def test_long_text_is_labelled_whole():
     import pyarrow as pa
 
