@@ -1,8 +1,9 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
 Each step is a partial aggregation (least neighbour of a node) and a join back; every
-round is written to the shared folder, so lineage stays short. Stars with a very large
-centre are one row on the aggregated side of the join, which adaptive execution can split.
+round is written to the shared folder, so lineage stays short. Least neighbours are written
+before the join back, so that both its sides are plain shuffles: adaptive execution then
+splits the rows of a star's centre, however large, over several tasks.
 """
 
 from __future__ import annotations
@@ -15,14 +16,15 @@ from .storage import durable, release
 MAX_ROUNDS = 60
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool) -> tuple[DataFrame, DataFrame]:
     """One step over edges (u > v). Large: every larger neighbour of u is linked to the
-    least of u and its neighbours; small: u and its smaller neighbours are."""
+    least of u and its neighbours; small: u and its smaller neighbours are. Also returns
+    the table of least neighbours, to be released."""
     if large:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         both = edges.select("u", "v")
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    least = durable(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")))
     joined = both.join(least, "u")
     if large:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -31,7 +33,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
             least.select("u", F.col("m").alias("v"))
         )
     out = out.where("u <> v")
-    return out if large else out.distinct()
+    return (out if large else out.distinct()), least
 
 
 def connected_components(edges: DataFrame, steps: int | None = None) -> DataFrame:
@@ -45,7 +47,13 @@ def connected_components(edges: DataFrame, steps: int | None = None) -> DataFram
     )
     mark = None
     for done in range(MAX_ROUNDS):
-        step = durable(_star(_star(current, True), False))
+        larger, least = _star(current, True)
+        larger = durable(larger)
+        release(least)
+        step, least = _star(larger, False)
+        step = durable(step)
+        release(larger)
+        release(least)
         seen = step.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first()
         release(current)
         current = step

@@ -7,18 +7,21 @@ key is a pair of one key from either, so ``tables**2`` tables of ``2 * rows`` mi
 How work stays bounded:
 
 * Documents with equal sets form a class; only one of each class goes on.
-* A key of either collection that one class alone has is dropped before pairs are formed.
-* Candidates of a bucket are not expanded into pairs: in each round a document is compared
-  with a few leaders of its buckets, and components are merged. What lies in one component
-  needs no further comparison. Only after ``STAR_ROUNDS`` rounds are the members of
-  different components in one bucket paired with each other, so no link is lost.
+* First every key has ``LEADERS`` leaders, the least classes by as many hashes. A class is
+  compared with the leaders that it shares a key of either collection with, that is a table
+  key, ``OFFERS`` of them at most, and components are merged. What lies in one component
+  needs no further comparison.
+* Then keys whose classes are all in one component are dropped, and table keys are formed of
+  the others. Documents of table keys with several components are joined exactly: a pair at
+  the threshold shares one of the rarest shingles of either set (its prefix in an order by
+  counts), so no bucket is expanded into pairs, and no link is lost.
 * Before sets are compared, bitmaps of them give an upper bound of the intersection; a pair
-  that the bound rules out is no link.
-* Sets are recomputed from text for candidate documents only.
+  that the bound rules out is no link. One side's sets are moved to the other side's key.
 
 With similarity s a link is missed if one collection has no common key: at most
 ``2 * (1 - s**rows) ** tables``. ``tables`` is chosen so that this is at most ``MISS`` at the
-threshold (13 at 0.85, 18 at 0.8); above it, it is less.
+threshold (13 at 0.85, 18 at 0.8); above it, it is less. Shingles are compared by 64-bit
+hashes: two different ones are equal with a chance of 2**-64.
 """
 
 from __future__ import annotations
@@ -33,15 +36,17 @@ from pyspark.sql import functions as F
 from . import textnum
 from .components import connected_components
 from .linedup import dense_rank
-from .storage import broadcast_if_small, durable, map_batches
+from .storage import broadcast_if_small, durable, map_batches, release
 
 ROWS = 3
 MISS = 1e-5
-STAR_ROUNDS = 1
-#: Leaders a document is compared with in one round, and 64-bit words of a set's bitmap.
+#: Leaders of a key, leaders a document is compared with, and 64-bit words of a bitmap.
+LEADERS = 4
 OFFERS = 8
 BITMAP = 16
-#: Steps of merging components between rounds.
+#: Cells in which shingles are counted to order them, at most so many numbers on the driver.
+CELLS = 1 << 16
+#: Steps of merging components after the first comparison.
 EARLY_STEPS = 2
 _SIGNED = pa.int64()
 
@@ -122,6 +127,18 @@ def _sets(batches: Iterable[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
             )
 
 
+def _prefixes(batches: Iterable[pa.RecordBatch], counts: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
+    """(token, node, component) of the rarest shingles of each set, as many as two sets at the
+    threshold must share one of: all but the least intersection, and one more."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            own = batch.column(2)[i].values.to_numpy(zero_copy_only=False).view(np.uint64)
+            order = np.lexsort((own, counts[own & np.uint64(CELLS - 1)]))
+            tokens = own[order[: len(own) + 1 - -(-percent * len(own) // 100)]]
+            node, component = (pa.repeat(batch.column(c)[i], len(tokens)) for c in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), node, component], ["token", "node", "component"])
+
+
 def tables_for(percent: int, rows: int = ROWS, miss: float = MISS) -> int:
     """Least number of keys in a collection with a chance of at most ``miss``."""
     alone = 1 - (percent / 100) ** rows
@@ -143,15 +160,17 @@ def signatures(docs: DataFrame, k: int, tables: int, rows: int = ROWS) -> DataFr
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) whose sets meet the threshold, by full intersection."""
-    left = sets.select(F.col("node").alias("u"), F.col("shingles").alias("a"))
-    right = sets.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
-    both = pairs.join(left, "u").join(right, "v")
+    """Pairs (p, q) whose sets meet the threshold, as links (u, v), by full intersection. The
+    set of q goes to p; of the sets of p only one copy is moved."""
+    asked = sets.join(broadcast_if_small(pairs.groupBy("q").agg(F.collect_list("p").alias("ps"))), sets["node"] == F.col("q"))
+    sent = asked.select(F.explode("ps").alias("p"), "q", F.col("shingles").alias("b"))
+    asking = sets.join(broadcast_if_small(pairs.select("p").distinct()), sets["node"] == F.col("p"), "left_semi")
+    both = sent.join(asking.select(F.col("node").alias("p"), F.col("shingles").alias("a")), "p")
     common = F.size(F.array_intersect("a", "b"))
     return (
-        both.select("u", "v", common.alias("c"), (F.size("a") + F.size("b")).alias("total"))
+        both.select("p", "q", common.alias("c"), (F.size("a") + F.size("b")).alias("total"))
         .where(F.lit(100) * F.col("c") >= F.lit(percent) * (F.col("total") - F.col("c")))
-        .select("u", "v")
+        .select(F.greatest("p", "q").alias("u"), F.least("p", "q").alias("v"))
     )
 
 
@@ -167,53 +186,69 @@ def _possible(n: Column, bits: Column, m: Column, bits2: Column, percent: int) -
     return close & (F.lit(100 + percent) * most >= F.lit(percent) * (n + m))
 
 
-def _asked(labelled: DataFrame, bitmaps: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Pairs (p, q): every bucket has a leader drawn by hash; a member of another component
-    is paired with at most ``OFFERS`` leaders of its buckets that its bitmap allows."""
-    drawn = F.struct(F.xxhash64("node", "bucket", F.lit(turn)).alias("r"), "node", "component")
-    leaders = labelled.groupBy("bucket").agg(F.min(drawn).alias("leader"))
-    offers = (
-        labelled.join(leaders, "bucket")
-        .where(F.col("component") != F.col("leader.component"))
-        .groupBy(F.col("node").alias("q"), F.col("leader.node").alias("p"))
-        .agg(F.count("*").alias("shared"))
-    )
-    # the leaders met in most buckets are the likeliest; the others stay for the last round
-    first = F.sort_array(F.collect_list(F.struct("shared", "p")), asc=False)
-    offers = offers.groupBy("q").agg(F.slice(first, 1, 2 * OFFERS).alias("first"))
-    offers = offers.select("q", F.inline("first"))
+def _allowed(pairs: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
+    """``pairs(p, q, ...)`` whose bitmaps do not rule a link out."""
     left = bitmaps.select(F.col("node").alias("p"), F.col("n").alias("n1"), F.col("bits").alias("b1"))
     right = bitmaps.select(F.col("node").alias("q"), F.col("n").alias("n2"), F.col("bits").alias("b2"))
-    allowed = offers.join(left, "p").join(right, "q").where(
-        _possible(F.col("n1"), F.col("b1"), F.col("n2"), F.col("b2"), percent)
-    )
-    best = F.sort_array(F.collect_list(F.struct("shared", "p")), asc=False)
-    return (
-        allowed.groupBy("q")
-        .agg(F.slice(best, 1, OFFERS).alias("best"))
-        .select(F.explode("best.p").alias("p"), "q")
+    met = pairs.join(right, "q").join(left, "p")
+    return met.where(_possible(F.col("n1"), F.col("b1"), F.col("n2"), F.col("b2"), percent)).select(*pairs.columns)
+
+
+def _asked(met: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
+    """Pairs (p, q) of a node and a leader that share a key of either collection; of each
+    node at most ``OFFERS`` that bitmaps allow. The likeliest leaders, those of most keys, go
+    first; what is left out is met in ``_across``."""
+    offers = (
+        met.select(F.col("node").alias("q"), "first", F.explode("leaders").alias("p"))
+        .where("p <> q")
+        .groupBy("q", "p")
+        .agg(F.count("*").alias("shared"), F.count_if("first").alias("ones"))
+        .where("ones > 0 and ones < shared")
     )
+    first = F.sort_array(F.collect_list(F.struct("shared", "p")), asc=False)
+    offers = offers.groupBy("q").agg(F.slice(first, 1, 2 * OFFERS).alias("first")).select("q", F.inline("first"))
+    allowed = _allowed(offers, bitmaps, percent)
+    return allowed.groupBy("q").agg(F.slice(first, 1, OFFERS).alias("best")).select(F.explode("best.p").alias("p"), "q")
 
 
-def _across(labelled: DataFrame, sides: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
-    """Pairs (p, q) in one bucket but different components, each from one of the buckets it
-    shares: that of the least key common to both in either collection."""
-    full = (
-        labelled.select("bucket", "node", "component", "x", "y")
-        .join(sides.select("node", "a", "b"), "node")
-        .join(bitmaps, "node")
+def _tensored(labelled: DataFrame) -> DataFrame:
+    """(node, component, a, b): nodes that share a table key with another component, and
+    their keys of either collection that do."""
+    split = lambda df, key: durable(
+        df.groupBy(key).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select(key)
     )
-    other = full.select("bucket", *[F.col(c).alias(f"{c}2") for c in ("node", "component", "n", "bits", "a", "b")])
-    return (
-        full.join(other, "bucket")
-        .where(
-            (F.col("component") < F.col("component2"))
-            & _possible(F.col("n"), F.col("bits"), F.col("n2"), F.col("bits2"), percent)
-            & (F.col("x") == F.array_min(F.array_intersect("a", "a2")))
-            & (F.col("y") == F.array_min(F.array_intersect("b", "b2")))
-        )
-        .select(F.col("node").alias("p"), F.col("node2").alias("q"))
+    mixed = labelled.join(split(labelled, "key"), "key", "left_semi")
+    sides = mixed.groupBy("node", "component").agg(
+        F.collect_set(F.when(F.col("first"), F.col("key"))).alias("a"),
+        F.collect_set(F.when(~F.col("first"), F.col("key"))).alias("b"),
     )
+    sides = durable(sides.where((F.size("a") > 0) & (F.size("b") > 0)))
+    paired = sides.select("node", "component", F.explode("a").alias("x"), "b").select(
+        "node", "component", "x", F.explode("b").alias("y")
+    )
+    paired = paired.select("node", "component", F.xxhash64("x", "y").alias("bucket"))
+    met = paired.join(split(paired, "bucket"), "bucket", "left_semi").select("node").distinct()
+    return sides.join(met, "node", "left_semi")
+
+
+def _across(sides: DataFrame, sets: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
+    """Pairs (p, q) of ``sides`` in different components that share a table key, a shingle of
+    either prefix, and that bitmaps allow."""
+    own = sets.join(broadcast_if_small(sides.select("node", "component")), "node")
+    cell = F.col("token").bitwiseAND(CELLS - 1).cast("int")
+    counted = own.select(F.explode("shingles").alias("token")).groupBy(cell.alias("cell")).count().collect()
+    counts = np.zeros(CELLS, np.int64)
+    for r in counted:
+        counts[r["cell"]] = r["count"]
+    listed = own.select("node", "component", "shingles")
+    tokens = durable(map_batches(listed, lambda it: _prefixes(it, counts, percent), "token long, node long, component long"))
+    several = tokens.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    tokens = tokens.join(durable(several.select("token")), "token", "left_semi")
+    other = tokens.select("token", F.col("node").alias("q"), F.col("component").alias("component2"))
+    pairs = tokens.join(other, "token").where("component < component2").select(F.col("node").alias("p"), "q").distinct()
+    keys = lambda name, x, y: sides.select(F.col("node").alias(name), F.col("a").alias(x), F.col("b").alias(y))
+    met = durable(_allowed(pairs, bitmaps, percent)).join(keys("q", "a2", "b2"), "q").join(keys("p", "a1", "b1"), "p")
+    return met.where(F.arrays_overlap("a1", "a2") & F.arrays_overlap("b1", "b2")).select("p", "q")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int = ROWS) -> DataFrame:
@@ -231,58 +266,35 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
         usable.groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("node"), F.min_by("keys", "doc_id").alias("keys"))
     )
     member = usable.select("doc_id", "n_shingles", "s1", "s2").join(classes.drop("keys"), ["n_shingles", "s1", "s2"])
-    same = member.where("doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v")).distinct()
-
-    listed = classes.select("node", F.col("n_shingles").alias("n"), F.posexplode("keys").alias("at", "key")).select("node", "n", "key", (F.col("at") < tables).alias("first"))
-    listed = durable(listed)
-    shared = listed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
-    useful = listed.join(shared.select("key"), "key", "left_semi")
-    sides = useful.groupBy("node", "n").agg(
-        F.collect_list(F.when(F.col("first"), F.col("key"))).alias("a"),
-        F.collect_list(F.when(~F.col("first"), F.col("key"))).alias("b"),
-    )
-    sides = durable(sides)
-    tensored = sides.select("node", "n", F.explode("a").alias("x"), "b").select(
-        "node", "n", "x", F.explode("b").alias("y")
-    )
-    tensored = tensored.select("node", "n", "x", "y", F.xxhash64("x", "y").alias("bucket"))
-    full = tensored.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
-    buckets = durable(tensored.join(full.select("bucket"), "bucket", "left_semi"))
-
-    candidates = durable(buckets.select("node").distinct())
+    links = durable(member.where("doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v")).distinct())
+
+    keyed = classes.select("node", F.posexplode("keys").alias("at", "key")).select("node", "key", (F.col("at") < tables).alias("first"))
+    drawn = [F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("r"), "node")).alias(f"r{i}") for i in range(LEADERS)]
+    leaders = keyed.groupBy("key").agg(*drawn, F.min("node").alias("lo"), F.max("node").alias("hi"))
+    named = F.array_distinct(F.array(*[F.col(f"r{i}.node") for i in range(LEADERS)]))
+    leaders = durable(leaders.where("lo < hi").select("key", named.alias("leaders")))
+    met = durable(keyed.join(leaders, "key"))
+    release(leaders)
+    likely = met.groupBy("node").agg(F.bool_or("first").alias("a"), F.bool_and("first").alias("b")).where("a and not b")
+    likely = durable(likely.select("node"))
     narrow = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    own = narrow.join(broadcast_if_small(candidates.withColumnRenamed("node", "doc_id")), "doc_id", "left_semi")
+    own = narrow.join(broadcast_if_small(likely.withColumnRenamed("node", "doc_id")), "doc_id", "left_semi")
     sets = durable(map_batches(own, lambda it: _sets(it, k), "node long, shingles array<long>, bits array<long>"))
-
     bitmaps = sets.select("node", F.size("shingles").alias("n"), "bits")
-
-    links = same
-    labels = None
-    for turn in range(STAR_ROUNDS + 1):
-        if labels is None:
-            labelled = buckets.withColumn("component", F.col("node"))
-        else:
-            labelled = buckets.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-            mixed = (
-                labelled.groupBy("bucket")
-                .agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-                .where("lo < hi")
-            )
-            labelled = durable(labelled.join(mixed.select("bucket"), "bucket", "left_semi"))
-            if labelled.isEmpty():
-                labels = durable(connected_components(links))
-                break
-        if turn < STAR_ROUNDS:
-            pairs = _asked(labelled, bitmaps, turn, percent)
-        else:
-            pairs = _across(labelled, sides, bitmaps, percent)
-        pairs = pairs.select(F.greatest("p", "q").alias("u"), F.least("p", "q").alias("v")).distinct()
-        pairs = durable(pairs)
-        found = durable(_confirmed(pairs, sets, percent))
-        links = durable(links.unionByName(found)) if turn == 0 else links.unionByName(found)
-        # before the last round it is enough that labels join only what is connected
-        last = turn == STAR_ROUNDS
-        labels = durable(connected_components(links, None if last else EARLY_STEPS))
+    release(classes)
+
+    pairs = durable(_asked(met, bitmaps, percent))
+    links = durable(links.unionByName(_confirmed(pairs, sets, percent)))
+    early = durable(connected_components(links, EARLY_STEPS))
+    labelled = met.join(early, "node", "left").select("node", "key", "first", F.coalesce("component", "node").alias("component"))
+    labelled = durable(labelled.join(likely, "node", "left_semi"))
+    release(met)
+    sides = durable(_tensored(labelled))
+    if not sides.isEmpty():
+        pairs = durable(_across(sides, sets, bitmaps, percent))
+        links = durable(links.unionByName(_confirmed(pairs, sets, percent)))
+    release(sets)
+    labels = durable(connected_components(links))
     answer = signed.select("doc_id", "n_shingles").join(labels, F.col("doc_id") == F.col("node"), "left")
     component = F.coalesce("component", "doc_id")
     return answer.select(

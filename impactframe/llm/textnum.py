@@ -1,8 +1,11 @@
 """Vectorised word and shingle hashing over Arrow string buffers.
 
 Words are maximal runs of bytes other than space and \\x09-\\x0D, with A-Z lower-cased.
-All separators are ASCII, so UTF-8 bytes can be scanned without decoding. Texts are
-handled in slices of about ``SLICE_BYTES`` so that memory does not follow batch size.
+All separators are ASCII, so UTF-8 bytes can be scanned without decoding. A word's hash is
+the sum of random 64-bit numbers, one for each pair of a place and a byte (tabulation
+hashing): two different words are equal with a chance of 2**-64, whatever their letters.
+Words of more than ``PLACES`` bytes have the xxh3 of their bytes instead. Texts are handled
+in slices of about ``SLICE_BYTES`` so that memory does not follow batch size.
 """
 
 from __future__ import annotations
@@ -14,17 +17,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 19
+PLACES = 64
 
 _rng = np.random.default_rng(20240607)
-_BYTE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
-_ORD_A, _ORD_Z = 65, 90
-_BYTE[_ORD_A : _ORD_Z + 1] = _BYTE[_ORD_A + 32 : _ORD_Z + 33]
+_FOLD = np.arange(256, dtype=np.int64)
+_FOLD[65:91] += 32
+_NUMBERS = _rng.integers(0, 2**64, PLACES * 256, dtype=np.uint64)
 _SEP = np.zeros(256, dtype=bool)
 _SEP[[0x20, *range(0x09, 0x0E)]] = True
-_P = np.uint64(0x9E3779B97F4A7C13)
-_P_INV = np.uint64(pow(0x9E3779B97F4A7C13, -1, 2**64))
 _STEP = [np.uint64(int(x) | 1) for x in _rng.integers(0, 2**64, 16, dtype=np.uint64)]
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -34,16 +35,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, SLICE_BYTES + 1)
-        for k, base in enumerate((_P, _P_INV)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps)
-    return _powers[0], _powers[1]
-
-
 def slices(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Yield (first row, last row + 1, bytes, offsets) of runs of rows; null is empty."""
     array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -66,23 +57,26 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     """64-bit hash of every word, and the index of the first word of each document
     (with the total at the end)."""
     n = len(data)
-    if n == 0:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
     word = ~_SEP[data]
+    if not word.any():
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
     begin = word.copy()
     begin[1:] &= ~word[:-1]
     heads = offsets[:-1][offsets[:-1] < n]
     begin[heads] = word[heads]
-    finish = word.copy()
-    finish[:-1] &= ~word[1:]
-    tails = offsets[1:][offsets[1:] > 0] - 1
-    finish[tails] = word[tails]
-    starts, ends = np.flatnonzero(begin), np.flatnonzero(finish) + 1
-    power, inverse = _power_tables(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[data] * power[:n], out=total[1:])
-    value = (total[ends] - total[starts]) * inverse[starts]
-    hashes = mix(value + (ends - starts).astype(np.uint64) * _STEP[15])
+    inside = np.flatnonzero(word)
+    starts = np.flatnonzero(begin)
+    first = np.searchsorted(inside, starts)
+    size = np.diff(np.append(first, len(inside)))
+    place = inside - np.repeat(starts, size)
+    np.minimum(place, PLACES - 1, out=place)
+    place *= 256
+    place += _FOLD[data[inside]]
+    hashes = np.add.reduceat(_NUMBERS[place], first)
+    for i in np.flatnonzero(size > PLACES):
+        import xxhash
+
+        hashes[i] = xxhash.xxh3_64_intdigest(data[starts[i] : starts[i] + size[i]].tobytes().lower())
     return hashes, np.searchsorted(starts, offsets).astype(np.int64)
 
 

@@ -96,3 +96,27 @@ def test_components(spark):
             if u != v:
                 least[u] = least[v] = min(least[u], least[v])
     assert got == least
+
+
+def test_words_that_collide_in_polynomial_hashes_are_not_equal(documents):
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, f"{word} x y"), (2, f"{other} x y"), (3, f"{word} X y")]
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(documents(rows), 3, 85).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+
+
+def test_template_pages_and_long_texts(documents):
+    """Pages alike at 0.7, never linked, among them links that only the exact round finds."""
+    rng = random.Random(8)
+    shared = [f"t{i}" for i in range(140)]
+    rows = [(i, " ".join(shared + [f"p{i}_{j}" for j in range(30)])) for i in range(60)]
+    rows += [(100 + i, " ".join([*rows[i][1].split()[:-2], "x", "y"])) for i in range(0, 60, 7)]
+    long = [f"l{rng.randrange(5000)}" for _ in range(30_000)]
+    rows += [(200, " ".join(long)), (201, " ".join([*long[:-40], "end"])), (202, " ".join(long[::-1]))]
+    least, size = brute(rows, 3, 85)
+    assert len(set(least.values())) > 60
+    for r in minhash.near_duplicates(documents(rows), 3, 85).collect():
+        assert (r["component_id"], r["n_shingles"]) == (least[r["doc_id"]], size[r["doc_id"]])
