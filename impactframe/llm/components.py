@@ -48,12 +48,10 @@ def connected_components(edges: DataFrame, steps: int | None = None) -> DataFram
     mark = None
     for done in range(MAX_ROUNDS):
         larger, least = _star(current, True)
-        larger = durable(larger)
-        release(least)
-        step, least = _star(larger, False)
+        step, smaller = _star(larger, False)
         step = durable(step)
-        release(larger)
         release(least)
+        release(smaller)
         seen = step.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first()
         release(current)
         current = step

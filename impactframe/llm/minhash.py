@@ -7,14 +7,16 @@ key is a pair of one key from either, so ``tables**2`` tables of ``2 * rows`` mi
 How work stays bounded:
 
 * Documents with equal sets form a class; only one of each class goes on.
-* First every key has ``LEADERS`` leaders, the least classes by as many hashes. A class is
-  compared with the leaders that it shares a key of either collection with, that is a table
+* First every key has ``LEADERS`` leaders: the class that shares most keys with others, and
+  the least ones by hashes. A class is compared with the leaders that it shares a key of either collection with, that is a table
   key, ``OFFERS`` of them at most, and components are merged. What lies in one component
   needs no further comparison.
 * Then keys whose classes are all in one component are dropped, and table keys are formed of
   the others. Documents of table keys with several components are joined exactly: a pair at
-  the threshold shares one of the rarest shingles of either set (its prefix in an order by
-  counts), so no bucket is expanded into pairs, and no link is lost.
+  the threshold has a common shingle among the rarest of either set, at places that its sizes
+  allow (prefixes in an order by counts). They are joined by such shingles and by classes of
+  sizes, and the largest component of a shingle only with the others, so no bucket is
+  expanded into pairs, and no link is lost.
 * Before sets are compared, bitmaps of them give an upper bound of the intersection; a pair
   that the bound rules out is no link. One side's sets are moved to the other side's key.
 
@@ -44,8 +46,10 @@ MISS = 1e-5
 LEADERS = 4
 OFFERS = 8
 BITMAP = 16
+#: Ratio of one class of set sizes to the next.
+SIZE_STEP = 1.2
 #: Cells in which shingles are counted to order them, at most so many numbers on the driver.
-CELLS = 1 << 16
+CELLS = 1 << 18
 #: Steps of merging components after the first comparison.
 EARLY_STEPS = 2
 _SIGNED = pa.int64()
@@ -127,16 +131,43 @@ def _sets(batches: Iterable[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
             )
 
 
+def _size_class(n: np.ndarray) -> np.ndarray:
+    return np.floor(np.log(n) / np.log(SIZE_STEP)).astype(np.int64)
+
+
 def _prefixes(batches: Iterable[pa.RecordBatch], counts: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
-    """(token, node, component) of the rarest shingles of each set, as many as two sets at the
-    threshold must share one of: all but the least intersection, and one more."""
+    """(token, sizes, held, node, component, n, place) of the rarest shingles of each set.
+
+    If two sets meet the threshold, the first shingle that they share in the order by counts
+    is near the front of both: as many shingles as they share at least come from there on.
+    ``held`` rows stand for a set as the smaller of a pair, and have its own class of sizes;
+    the others for it as the larger, for every class of sizes that its place allows."""
+    t = percent / 100
     for batch in batches:
         for i in range(batch.num_rows):
             own = batch.column(2)[i].values.to_numpy(zero_copy_only=False).view(np.uint64)
+            n = len(own)
             order = np.lexsort((own, counts[own & np.uint64(CELLS - 1)]))
-            tokens = own[order[: len(own) + 1 - -(-percent * len(own) // 100)]]
-            node, component = (pa.repeat(batch.column(c)[i], len(tokens)) for c in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), node, component], ["token", "node", "component"])
+            tokens = own[order[: n + 1 - -(-percent * n // 100)]].view(np.int64)
+            place = np.arange(len(tokens))
+            # the smaller set shares n * 2t / (1 + t) shingles at least with one not smaller
+            held = place <= n - 2 * percent * n / (100 + percent) + 1e-6
+            # a set of m shingles shares (n + m) * t / (1 + t) at least: no more than come after
+            most = np.minimum((n - place) * (1 + t) / t - n + 1e-6, n)
+            least = max(int(_size_class(np.array([t * n - 1e-6]).clip(1))[0]), 0)
+            last = np.where(most >= 1, _size_class(most.clip(1)), -1)
+            several = np.maximum(last - least + 1, 0)
+            at = np.repeat(place, several)
+            sizes = least + np.arange(len(at)) - np.repeat(np.cumsum(several) - several, several)
+            rows = np.concatenate([place[held], at])
+            size = np.concatenate([np.full(int(held.sum()), _size_class(np.array([n]))[0]), sizes])
+            kind = np.concatenate([np.ones(int(held.sum()), bool), np.zeros(len(at), bool)])
+            node, component = (pa.repeat(batch.column(c)[i], len(rows)) for c in (0, 1))
+            number = lambda x: pa.array(x.astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(tokens[rows]), number(size), pa.array(kind), node, component, number(np.full(len(rows), n)), number(rows)],
+                ["token", "sizes", "held", "node", "component", "n", "place"],
+            )
 
 
 def tables_for(percent: int, rows: int = ROWS, miss: float = MISS) -> int:
@@ -194,6 +225,15 @@ def _allowed(pairs: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
     return met.where(_possible(F.col("n1"), F.col("b1"), F.col("n2"), F.col("b2"), percent)).select(*pairs.columns)
 
 
+def _leaders(met: DataFrame, popular: DataFrame) -> DataFrame:
+    """(key, leaders) of ``met(node, key)``: the class that shares most keys with others, as
+    the original of many edited copies does, and the least ones by hashes."""
+    drawn = [F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("r"), "node")).alias(f"r{i}") for i in range(1, LEADERS)]
+    first = F.max(F.struct("popular", F.xxhash64("node").alias("r"), "node")).alias("r0")
+    named = F.array_distinct(F.array(*[F.col(f"r{i}.node") for i in range(LEADERS)]))
+    return met.join(popular.select("node", "popular"), "node").groupBy("key").agg(first, *drawn).select("key", named.alias("leaders"))
+
+
 def _asked(met: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
     """Pairs (p, q) of a node and a leader that share a key of either collection; of each
     node at most ``OFFERS`` that bitmaps allow. The likeliest leaders, those of most keys, go
@@ -236,16 +276,34 @@ def _across(sides: DataFrame, sets: DataFrame, bitmaps: DataFrame, percent: int)
     either prefix, and that bitmaps allow."""
     own = sets.join(broadcast_if_small(sides.select("node", "component")), "node")
     cell = F.col("token").bitwiseAND(CELLS - 1).cast("int")
-    counted = own.select(F.explode("shingles").alias("token")).groupBy(cell.alias("cell")).count().collect()
+    counted = own.select(F.explode("shingles").alias("token")).groupBy(cell.alias("cell")).count().toArrow()
     counts = np.zeros(CELLS, np.int64)
-    for r in counted:
-        counts[r["cell"]] = r["count"]
+    counts[counted["cell"].to_numpy()] = counted["count"].to_numpy()
     listed = own.select("node", "component", "shingles")
-    tokens = durable(map_batches(listed, lambda it: _prefixes(it, counts, percent), "token long, node long, component long"))
-    several = tokens.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    tokens = tokens.join(durable(several.select("token")), "token", "left_semi")
-    other = tokens.select("token", F.col("node").alias("q"), F.col("component").alias("component2"))
-    pairs = tokens.join(other, "token").where("component < component2").select(F.col("node").alias("p"), "q").distinct()
+    schema = "token long, sizes int, held boolean, node long, component long, n int, place int"
+    tokens = durable(map_batches(listed, lambda it: _prefixes(it, counts, percent), schema))
+    # what the largest component of a token has is not paired with itself
+    size = sides.groupBy("component").agg(F.count("*").alias("size"))
+    sized = tokens.join(broadcast_if_small(durable(size)), "component")
+    met = sized.groupBy("token", "sizes").agg(
+        F.max(F.struct("size", "component")).alias("top"), F.min("component").alias("lo"), F.max("component").alias("hi"),
+        F.bool_or("held").alias("held"), F.bool_and("held").alias("only"),
+    )
+    met = durable(met.where("lo < hi and held and not only").select("token", "sizes", F.col("top.component").alias("top")))
+    live = durable(tokens.join(met, ["token", "sizes"]).withColumn("main", F.col("component") == F.col("top")).drop("top"))
+    side = lambda held, names: live.where(held).select("token", "sizes", *[F.col(c).alias(c + names) for c in ("node", "component", "n", "place", "main")])
+    fewer, more = side("held", "1"), side("not held", "2")
+    shares = F.least(F.col("n1") - F.col("place1"), F.col("n2") - F.col("place2"))
+    fits = (
+        (F.struct("n1", "node1") < F.struct("n2", "node2"))
+        & (F.col("component1") != F.col("component2"))
+        & (F.lit(100 + percent) * shares >= F.lit(percent) * (F.col("n1") + F.col("n2")))
+    )
+    both = [
+        fewer.where(x).join(more.where(y), ["token", "sizes"]).where(fits).select(F.col("node1").alias("p"), F.col("node2").alias("q"))
+        for x, y in (("not main1", "true"), ("main1", "not main2"))
+    ]
+    pairs = both[0].unionByName(both[1]).distinct()
     keys = lambda name, x, y: sides.select(F.col("node").alias(name), F.col("a").alias(x), F.col("b").alias(y))
     met = durable(_allowed(pairs, bitmaps, percent)).join(keys("q", "a2", "b2"), "q").join(keys("p", "a1", "b1"), "p")
     return met.where(F.arrays_overlap("a1", "a2") & F.arrays_overlap("b1", "b2")).select("p", "q")
@@ -269,21 +327,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
     links = durable(member.where("doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v")).distinct())
 
     keyed = classes.select("node", F.posexplode("keys").alias("at", "key")).select("node", "key", (F.col("at") < tables).alias("first"))
-    drawn = [F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("r"), "node")).alias(f"r{i}") for i in range(LEADERS)]
-    leaders = keyed.groupBy("key").agg(*drawn, F.min("node").alias("lo"), F.max("node").alias("hi"))
-    named = F.array_distinct(F.array(*[F.col(f"r{i}.node") for i in range(LEADERS)]))
-    leaders = durable(leaders.where("lo < hi").select("key", named.alias("leaders")))
-    met = durable(keyed.join(leaders, "key"))
-    release(leaders)
-    likely = met.groupBy("node").agg(F.bool_or("first").alias("a"), F.bool_and("first").alias("b")).where("a and not b")
-    likely = durable(likely.select("node"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi"))
+    met = durable(keyed.join(durable(shared.where("lo < hi").select("key", "n")), "key"))
+    popular = met.groupBy("node").agg(F.sum("n").alias("popular"), F.bool_or("first").alias("a"), F.bool_and("first").alias("b"))
+    popular = durable(popular)
+    likely = popular.where("a and not b").select("node")
+    leaders = durable(_leaders(met, popular))
     narrow = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
     own = narrow.join(broadcast_if_small(likely.withColumnRenamed("node", "doc_id")), "doc_id", "left_semi")
     sets = durable(map_batches(own, lambda it: _sets(it, k), "node long, shingles array<long>, bits array<long>"))
     bitmaps = sets.select("node", F.size("shingles").alias("n"), "bits")
     release(classes)
 
-    pairs = durable(_asked(met, bitmaps, percent))
+    pairs = durable(_asked(met.join(leaders, "key"), bitmaps, percent))
     links = durable(links.unionByName(_confirmed(pairs, sets, percent)))
     early = durable(connected_components(links, EARLY_STEPS))
     labelled = met.join(early, "node", "left").select("node", "key", "first", F.coalesce("component", "node").alias("component"))
