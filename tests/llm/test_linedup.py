@@ -114,3 +114,26 @@ def test_equal_words_beside_a_line_count(spark, documents):
     got = {r["doc_id"]: r for r in linedup.deduplicate_lines(documents(rows), edges=True).collect()}
     assert [got[i]["n_removed"] for i in (1, 2, 3)] == [0, 1, 0]
     assert worded(got[2]["clean_text"]) == [worded(rows[1][1])[0], worded(rows[1][1])[2]]
+
+
+def test_runs_of_any_depth_and_long_texts(spark, documents):
+    """Copied runs of 200 one-word lines and of 3,000 lines, cut at other places each time."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(40)]
+    base = [rng.choice(words) for _ in range(400)]
+    long = [f"{rng.choice(words)} {rng.choice(words)}" for _ in range(3_000)]
+    rows = [(1, "\n".join(base)), (2, "\n".join(["x", *base[50:250], "y", *base[20:70]])), (3, "\n".join([*base[100:130], "z", *base[300:]]))]
+    rows += [(4, "\n".join(long)), (5, "\n".join(["head", *long[500:2_900], "tail", *long[:30]])), (6, "\n".join(base))]
+    out = {r["doc_id"]: r for r in linedup.deduplicate_lines(documents(rows), 50).collect()}
+    small = brute([r for r in rows if r[0] not in (4, 5)], 50)
+    for d, text in rows:
+        if d not in (4, 5):
+            gone = small[d, text]
+            assert worded(out[d]["clean_text"]) == [x for i, x in enumerate(worded(text)) if i not in gone], d
+    assert out[4]["n_removed"] == 0 and out[6]["clean_text"] == ""
+    assert worded(out[5]["clean_text"]) == ["head", "tail"] and out[5]["n_runs"] == 2
+
+
+def test_equal_lines_overlap_their_own_copy(documents):
+    out = linedup.deduplicate_lines(documents([(1, "\n".join(["w"] * 51)), (2, "\n".join(["v"] * 50))])).collect()
+    assert sorted((r["doc_id"], r["n_removed"]) for r in out) == [(1, 50), (2, 0)]
