@@ -74,6 +74,42 @@ def test_sum_of_squares_choice(seed):
         list(p.add(i, bytes(4 * size)))
 
 
+def test_few_ids_are_moved_at_the_end():
+    rng = random.Random(1)
+    sizes = [min(int(rng.lognormvariate(5.6, 1.0)) + 1, 2000) for _ in range(30_000)]
+    left = []
+    for lo in range(0, len(sizes), 500):
+        first = packing.LevelPacker(passing=True)
+        for i in range(lo, lo + 500):
+            list(first.add(i, bytes(4 * sizes[i])))
+        left += first.take()
+    second = packing.LevelPacker()
+    rows = [r for piece in left for r in second.put(piece)]
+    rows += list(second.close())
+    assert sum(r[2] for r in rows) == sum(len(p[2]) for p in left) // 4
+    assert second.moved < 0.02 * sum(sizes)
+    total = {}
+    for r in rows:
+        total[r[5]] = total.get(r[5], 0) + r[2]
+    assert sum(x < packing.WINDOW for x in total.values()) <= 11 and all(x & (x - 1) == 0 for x in total.values())
+
+
+def test_repeated_rows_groups_and_full_packers(documents):
+    rows = [(7, "alpha beta " * (20 + i % 40)) for i in range(60)] * 2 + [(1, "gamma " * 60_000)]
+    out = packing.pack(documents(rows), max_open=4, group_ids=1500).collect()
+    ids = [len(x) for x in reference([t for _, t in rows])]
+    assert sum(r["length"] for r in out) == sum(ids)
+    ends = {}
+    for r in out:
+        ends.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for pieces in ends.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at & (at - 1) == 0 and at <= packing.WINDOW
+
+
 def test_closing_early_loses_nothing():
     p = packing.LevelPacker(16, max_open=3)
     rows = [r for i in range(50) for r in p.add(i, bytes(4 * (9 + i % 5)))] + list(p.close())
