@@ -2,8 +2,9 @@
 
 A small GRU reads the bytes of a text in both directions and gives every position class
 probabilities; a document's probabilities are the mean over the positions of its letters.
-The network is trained here, in numpy, by backpropagation through time on a bounded
-sample of labelled rows (``TRAIN_ROWS``, a parameter).
+The network is trained here, in numpy, by backpropagation through time on segments drawn
+from everywhere in the texts of a bounded sample of labelled rows (``TRAIN_ROWS``, a
+parameter): as many segments as training reads, so the driver holds those and no texts.
 
 Prediction reads whole texts. They are cut into segments of ``SEGMENT`` bytes with
 ``MARGIN`` bytes of context on either side that warm the states and are not labelled, and
@@ -29,7 +30,6 @@ SEGMENT = 112
 MARGIN = 8
 LANES = 2048
 TRAIN_ROWS = 2400
-TRAIN_CHARS = 6 * SEGMENT
 STEPS = 420
 BATCH = 192
 UNKNOWN = "und"
@@ -160,12 +160,16 @@ class Model:
         return loss, grads
 
 
-def train(texts: list[str], langs: list[str], steps: int = STEPS, seed: int = 11) -> Model:
-    """Adam on random segments of the labelled texts, languages drawn equally often."""
+def train(segments: list[str], langs: list[str], steps: int = STEPS, seed: int = 11) -> Model:
+    """Adam on labelled segments, of which the first ``SEGMENT`` bytes are read; languages are
+    drawn equally often, and of one language all segments before any is drawn again."""
     labels = sorted(set(langs))
     model = Model(labels)
     rng = np.random.default_rng(seed)
-    by = [[t.encode() for t, lang in zip(texts, langs, strict=True) if lang == x and t.strip()] for x in labels]
+    by = [[t.encode()[:SEGMENT] for t, lang in zip(segments, langs, strict=True) if lang == x and t.strip()] for x in labels]
+    for own in by:
+        rng.shuffle(own)
+    drawn = [0] * len(labels)
     usable = [k for k, own in enumerate(by) if own]
     if not usable:
         return model
@@ -176,9 +180,8 @@ def train(texts: list[str], langs: list[str], steps: int = STEPS, seed: int = 11
         real = np.zeros((SEGMENT, BATCH), bool)
         for lane in range(BATCH):
             k = usable[lane % len(usable)]
-            raw = by[k][rng.integers(len(by[k]))]
-            at = int(rng.integers(max(len(raw) - SEGMENT, 0) + 1))
-            part = np.frombuffer(raw[at : at + SEGMENT], np.uint8)
+            part = np.frombuffer(by[k][drawn[k] % len(by[k])], np.uint8)
+            drawn[k] += 1
             lanes[: len(part), lane], target[lane] = part, k
             real[: len(part), lane] = LETTER[part]
         _, grads = model.train_step(lanes, target, real)
@@ -256,12 +259,11 @@ def _predicted(batches: Iterable[pa.RecordBatch], model: Model) -> Iterator[pa.R
 
 def fit(docs: DataFrame, rows: int = TRAIN_ROWS, steps: int = STEPS) -> Model | None:
     """Train on at most ``rows`` rows that are not held out, as many of each language at most,
-    chosen by a hash of doc_id, so that every language is learnt up to ``rows`` of them; of each a run of ``TRAIN_CHARS`` characters from a hashed place anywhere in its text is
-    brought to the driver. None without labelled rows."""
+    chosen by a hash of doc_id, so that every language is learnt up to ``rows`` of them. Of
+    each as many segments are drawn, at hashed places of its whole text, as make up all that
+    training reads; they alone come to the driver. None without labelled rows."""
     usable = docs.where(docs["lang"].isNotNull() & docs["text"].isNotNull() & ~held_out(docs["doc_id"]))
     hashed = F.xxhash64("doc_id")
-    spare = F.greatest(F.length("text") - TRAIN_CHARS, F.lit(0)) + 1
-    at = F.pmod(F.xxhash64(hashed), spare.cast("long")).cast("int") + 1
     # hashes first, so that texts of the chosen rows alone are moved: rows are counted by the
     # hash's high bits, and of each language the first cells that hold its share are read
     cell = F.shiftright(hashed, 52).alias("cell")
@@ -273,11 +275,19 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS, steps: int = STEPS) -> Model |
     before = F.sum("n").over(Window.partitionBy("lang").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))
     first = cells.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < share).select("lang", "cell")
     chosen = usable.withColumn("cell", cell).join(broadcast_if_small(durable(first)), ["lang", "cell"], "left_semi")
-    runs = chosen.select(hashed.alias("h"), F.substring(F.col("text"), at, F.lit(TRAIN_CHARS)).alias("text"), F.col("lang"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text")).alias("place")
-    drawn = runs.select("*", place).where(F.col("place") <= share).orderBy("place", "h", "text").limit(rows).collect()
-    drawn = sorted(drawn, key=lambda r: (r["h"], r["text"]))
-    return train([r["text"] for r in drawn], [r["lang"] for r in drawn], steps)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "t")).alias("place")
+    listed = chosen.select(hashed.alias("h"), F.xxhash64("text").alias("t"), "lang", "text")
+    ranked = durable(listed.select("h", "t", "lang").select("*", place).where(F.col("place") <= share))
+    some = ranked.orderBy("place", "h", "t").limit(rows).agg(F.count("*")).first()[0]
+    per_row = -(-steps * BATCH // max(some, 1))
+    spare = F.greatest(F.length("text") - SEGMENT, F.lit(0)) + 1
+    at = lambda i: F.pmod(F.xxhash64("h", "t", i), spare.cast("long")).cast("int") + 1
+    cut = F.transform(F.sequence(F.lit(1), F.lit(per_row)), lambda i: F.substring(F.col("text"), at(i), F.lit(SEGMENT)))
+    least = F.broadcast(ranked.orderBy("place", "h", "t").limit(rows).select("h", "t", "lang").distinct())
+    drawn = listed.join(least, ["h", "t", "lang"], "left_semi").dropDuplicates(["h", "t", "lang"]).select("h", "t", "lang", cut.alias("segments")).collect()
+    drawn = sorted(drawn, key=lambda r: (r["h"], r["t"]))
+    pairs = [(x, r["lang"]) for r in drawn for x in r["segments"]]
+    return train([x for x, _ in pairs], [lang for _, lang in pairs], steps)
 
 
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:

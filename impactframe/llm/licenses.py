@@ -1,5 +1,11 @@
 """Licence scan: an Aho-Corasick automaton finds notice phrases and identifier tags, and a
-shunting-yard parser reads the licence expression behind each tag.
+shunting-yard parser reads and evaluates the licence expression behind each tag.
+
+An expression's value is what it asks of a user: the licences that every way of meeting it
+needs (``required``), those of any way, and the grade of its mildest way. ``and`` joins
+duties and takes the stricter grade, ``or`` leaves a choice and takes the milder, ``with``
+makes a copyleft licence weak. So ``mit and gpl-2.0-only`` is copyleft and needs both, while
+``mit or gpl-2.0-only`` is permissive and needs neither.
 
 Words are runs of characters other than ASCII non-alphanumerics, with A-Z lower-cased;
 phrases are matched on whole words standing consecutively.
@@ -18,7 +24,7 @@ from .storage import map_batches
 
 SCHEMA = (
     "doc_id long, n_words long, n_base long, first_word long, last_word long, "
-    "base_labels string, labels string, score double, n_method long, expressions string"
+    "base_labels string, labels string, score double, n_method long, expressions string, required string, verdict string"
 )
 #: The base phrases and their labels.
 BASE = {
@@ -58,6 +64,43 @@ _LINE_END = re.compile(r"[\n\r]")
 _TOKEN = re.compile(r"\(|\)|[A-Za-z0-9][A-Za-z0-9.+\-]*")
 _PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 
+#: Grades from mild to strict; a licence that no rule names is ``unknown``.
+GRADES = ["permissive", "weak-copyleft", "copyleft", "unknown", "non-commercial"]
+#: Beginnings of identifiers and their grade; the longest that fits counts.
+_BEGINNINGS = {
+    "mit": 0, "apache-": 0, "bsd-": 0, "isc": 0, "zlib": 0, "unlicense": 0, "cc0-": 0, "bsl-1.0": 0, "0bsd": 0,
+    "cc-by-": 0, "postgresql": 0, "python-": 0, "unicode-": 0, "wtfpl": 0,
+    "lgpl-": 1, "mpl-": 1, "epl-": 1, "cddl-": 1, "gpl-": 2, "agpl-": 2, "cc-by-sa-": 2, "osl-": 2, "eupl-": 2,
+    "cc-by-nc": 4, "polyform-noncommercial": 4,
+}
+
+
+def grade(name: str) -> int:
+    """Place in ``GRADES`` of a licence identifier; ``+`` at its end means later versions."""
+    name = name.removesuffix("+")
+    fits = [b for b in _BEGINNINGS if name.startswith(b) if b[-1] in "-0123456789" or name == b or name[len(b)] == "-"]
+    return _BEGINNINGS[max(fits, key=len)] if fits else GRADES.index("unknown")
+
+
+def evaluate(postfix: list[str]) -> tuple[frozenset[str], int]:
+    """(licences that every way of meeting the expression needs, grade of the mildest way)
+    of a postfix expression."""
+    stack: list[tuple[frozenset[str], int]] = []
+    for token in postfix:
+        if token not in _PRECEDENCE:
+            stack.append((frozenset([token]), grade(token)))
+            continue
+        (b, strict_b), (a, strict_a) = stack.pop(), stack.pop()
+        if token == "and":
+            stack.append((a | b, max(strict_a, strict_b)))
+        elif token == "or":
+            stack.append((a & b, min(strict_a, strict_b)))
+        else:
+            named = frozenset(f"{x} with {y}" for x in a for y in b)
+            stack.append((named, 1 if GRADES[strict_a] == "copyleft" else strict_a))
+    return stack[0]
+
+
 _FOLD = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
 )
@@ -142,6 +185,8 @@ def scan_text(text: str, found) -> tuple:
         else:
             labels.add(label)
     expressions: list[str] = []
+    required: set[str] = set()
+    strictest, sure = 0, 0
     if tagged:
         tags = list(_TAG_TEXT.finditer(text))
         stops = [m.start() for m in tags[1:]] + [len(text)]
@@ -152,7 +197,11 @@ def scan_text(text: str, found) -> tuple:
             if parsed := parse_expression(text[m.end() : stop]):
                 labels.update(parsed[0])
                 expressions.append(parsed[1])
-    evidence = len(base_hits) + n_method + 2 * len(expressions)
+                needed, strict = evaluate(parsed[1].split(" "))
+                required |= needed
+                strictest = max(strictest, strict)
+                sure += bool(needed)
+    evidence = len(base_hits) + n_method + len(expressions) + sure
     places = [p for p, _ in base_hits]
     return (
         n_words,
@@ -164,6 +213,8 @@ def scan_text(text: str, found) -> tuple:
         1.0 - 0.5**evidence,
         n_method,
         "; ".join(expressions),
+        ",".join(sorted(required)),
+        GRADES[strictest] if expressions else None,
     )
 
 
@@ -186,6 +237,9 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
 
     A null or empty text has no words, no places (null first and last), empty labels and
     score 0; a null doc_id stays null; repeated rows give repeated results; other columns
-    are ignored. ``score`` is 1 - 2**-evidence over all phrases and parsed tags."""
+    are ignored. ``labels`` has every licence named, ``required`` those that the expressions
+    cannot be met without, ``verdict`` the grade of what all expressions ask together (null
+    without any). ``score`` is 1 - 2**-evidence: one for each phrase, tag and expression, and
+    one more for an expression that leaves no choice of all its licences."""
     narrow = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
     return map_batches(narrow, _scanned, SCHEMA)

@@ -23,7 +23,7 @@ SYMBOLS = r"[#*$%&|<>]"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MIN_DOCS = 20
-DOC_SHARE = 0.1
+DOC_SHARE = 0.05
 MAX_REMOVED_PERCENT = 50
 METRICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 

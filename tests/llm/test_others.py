@@ -84,6 +84,49 @@ def test_projection_equals_numpy(spark):
     assert np.allclose((rate * n) @ p, aims, rtol=1e-4)
 
 
+@pytest.mark.parametrize("targets", [{"good": 0.7, "poor": 0.25, "toxic": 0.05}, {"good": 0.01, "poor": 0.01, "toxic": 0.98}])
+def test_fit_reaches_the_least_distance(spark, targets):
+    """Against a plain projected gradient in numpy, run to its end; the second targets are
+    out of reach of nonnegative rates that mix domains."""
+    rng = np.random.default_rng(4)
+    p = rng.dirichlet([2.0, 2.0, 1.0], 120)
+    n = rng.integers(1, 50, 120).astype(float)
+    df = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p, strict=True)], "n_tokens long, posterior array<double>")
+    import warnings
+
+    with warnings.catch_warnings(record=True) as said:
+        warnings.simplefilter("always")
+        found = mixing.fit(df, targets)
+    a, w = (p * n[:, None]).T, np.array(found.aims)
+    rate, bound = np.ones(120), np.linalg.eigvalsh((p * n[:, None]).T @ p).max()
+    for _ in range(30_000):
+        rate = np.maximum(0, rate + p @ (w - a @ rate) / bound)
+    least = np.linalg.norm(a @ rate - w)
+    assert np.linalg.norm(np.array(found.reached) - w) <= least + 0.02 * np.linalg.norm(w)
+    assert (found.residual > mixing.MISSED) == bool(said)
+    own = np.ones(120)
+    for s in found.steps:
+        own = np.maximum(0, own + p @ np.array(s))
+    assert np.allclose(a @ own, found.reached)
+
+
+def test_posteriors_equal_naive_bayes_by_hand(spark, documents):
+    import math
+
+    rows = [(1, "a b"), (2, "b c c"), (3, "d"), (4, "a c zz"), (5, ""), (6, None), (7, "word " * 20_000 + "c")]
+    labels = [(1, 1, 0), (2, 0, 0), (3, 1, 1)]
+    bucket = {w: r[0] for w in ("a", "b", "c", "d", "zz", "word") for r in spark.range(1).selectExpr(f"pmod(hash('{w}'), {mixing.BUCKETS})").collect()}
+    count = [[mixing.SMOOTHING] * mixing.BUCKETS for _ in range(3)]
+    for doc_id, k in ((1, 0), (2, 1), (3, 2)):
+        for w in dict(rows)[doc_id].split():
+            count[k][bucket[w]] += 1
+    out = {r["doc_id"]: r["posterior"] for r in mixing.rates(documents(rows, ["posterior", "b"]), label_table(spark, labels)).collect()}
+    for doc_id, text in rows:
+        score = [math.log(1 / 3) + sum(math.log(count[k][bucket[w]] / sum(count[k])) for w in (text or "").split()) for k in range(3)]
+        raised = [math.exp(x - max(score)) for x in score]
+        assert out[doc_id] == pytest.approx([x / sum(raised) for x in raised], abs=1e-9)
+
+
 def test_mixing_edges(spark, documents):
     none = label_table(spark, [])
     rows = documents([(1, None), (None, "a b"), (2, "a b")])
@@ -146,6 +189,64 @@ def test_tags_are_read_one_by_one_and_whole(documents):
     assert out[3]["expressions"] == "isc"
 
 
+@pytest.mark.parametrize(
+    ("text", "required", "verdict"),
+    [
+        ("MIT AND GPL-2.0-only", "gpl-2.0-only,mit", "copyleft"), ("MIT OR GPL-2.0-only", "", "permissive"),
+        ("GPL-2.0-only WITH Classpath-exception-2.0", "gpl-2.0-only with classpath-exception-2.0", "weak-copyleft"),
+        ("MIT AND (MIT OR AGPL-3.0-only)", "mit", "permissive"), ("Apache-2.0 AND LicenseRef-own", "apache-2.0,licenseref-own", "unknown"),
+        ("CC-BY-NC-4.0 OR LGPL-2.1+", "", "weak-copyleft"), ("MITx", "mitx", "unknown"), ("(MIT", "", None),
+    ],
+)
+def test_expressions_are_evaluated(text, required, verdict):
+    found = licenses.automaton()
+    row = licenses.scan_text(f"SPDX-License-Identifier: {text}\nmore", found)
+    assert row[-2:] == (required, verdict)
+    both, either = (licenses.scan_text(f"SPDX-License-Identifier: MIT {x} ISC", found)[6] for x in ("AND", "OR"))
+    assert both > either
+
+
+def ways(tokens):
+    """All sets of licences that meet a postfix expression without exceptions."""
+    stack = []
+    for t in tokens:
+        if t in ("and", "or"):
+            b, a = stack.pop(), stack.pop()
+            stack.append([x | y for x in a for y in b] if t == "and" else a + b)
+        else:
+            stack.append([{t}])
+    return stack[0]
+
+
+def test_evaluation_equals_brute_force():
+    rng = np.random.default_rng(5)
+    names = ["mit", "gpl-2.0-only", "mpl-2.0", "own", "cc-by-nc-4.0"]
+    for _ in range(200):
+        tokens = [str(rng.choice(names))]
+        for _ in range(rng.integers(0, 6)):
+            tokens += [str(rng.choice(names)), str(rng.choice(["and", "or"]))]
+        all_ways = ways(tokens)
+        needed, strict = licenses.evaluate(tokens)
+        assert needed == set.intersection(*all_ways)
+        assert strict == min(max(licenses.grade(x) for x in w) for w in all_ways)
+
+
+def test_notice_labels_equal_brute_force(documents):
+    phrases = licenses.BASE | licenses.NOTICES
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(60):
+        parts = [str(rng.choice([*phrases, "words", "the mit", "Ünder"])) for _ in range(rng.integers(0, 6))]
+        rows.append((i, " - ".join(p.upper() if rng.random() < 0.3 else p for p in parts)))
+    rows += [(900, " word" * 50_000 + " the unlicense"), (901, rows[0][1]), (901, rows[0][1])]
+    for r in licenses.scan_licenses(documents(rows)).collect():
+        text = dict(rows)[r["doc_id"]]
+        words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text))
+        line = f" {' '.join(words)} "
+        want = {label for phrase, label in phrases.items() if f" {phrase} " in line}
+        assert r["labels"] == ",".join(sorted(want)) and r["verdict"] is None
+
+
 # quality rules
 
 
@@ -192,6 +293,14 @@ def test_chat_collapse(spark):
     assert chat.render_conversations(df.limit(0)).count() == 0
 
 
+def test_rows_without_conversation_stand_alone(spark):
+    rows = [(1, 0, "user", "q"), (1, 1, "bot", "a"), (None, 0, "user", "q"), (None, 5, "user", "z"), (None, None, "user", "z"), (None, 0, "bot", None), (2, 3, "user", "z")]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn long, role string, text string, turns string")
+    out = sorted((r["conv_id"] is None, r["n_turns"], r["rendered"]) for r in chat.render_conversations(df).collect())
+    show = lambda role, text: f"<|im_start|>{role}\n{text}<|im_end|>"
+    assert out == sorted([(False, 2, show("user", "q") + "\n" + show("bot", "a")), (False, 1, show("user", "z")), (True, 1, show("bot", ""))])
+
+
 # languages
 
 
@@ -244,6 +353,67 @@ def test_rare_language_is_learnt(documents):
     assert set(langid.fit(docs, rows=20, steps=1).labels) == {"aa", "bb", "cc"}
 
 
+def plain_labels(model, text):
+    """Pooled probabilities of one text by a GRU written out byte by byte."""
+    raw = text.encode()
+    w, h = {k: v.astype(float) for k, v in model.w.items()}, model.hidden
+    squash = lambda x: np.clip(0.25 * x + 0.5, 0, 1)
+    total, letters = np.zeros(len(model.labels)), 0
+    for start in range(0, len(raw), langid.SEGMENT):
+        places = range(start - langid.MARGIN, start + langid.SEGMENT + langid.MARGIN)
+        line = [raw[i] if 0 <= i < len(raw) else 32 for i in places]
+
+        def walk(side, order):
+            state, states = np.zeros(h), {}
+            for i in order:
+                x = w[f"E{side}"][line[i]]
+                z, r = np.split(squash(x[: 2 * h] + state @ w[f"U{side}"][:, : 2 * h]), 2)
+                new = np.clip(x[2 * h :] + (r * state) @ w[f"U{side}"][:, 2 * h :], -1, 1)
+                states[i] = state = state + z * (new - state)
+            return states
+
+        ahead, back = walk(0, range(len(line))), walk(1, reversed(range(len(line))))
+        for i in range(langid.MARGIN, langid.MARGIN + langid.SEGMENT):
+            if langid.LETTER[line[i]]:
+                e = np.exp(np.concatenate([ahead[i], back[i]]) @ w["V"] + w["b"])
+                total += e / e.sum()
+                letters += 1
+    return total / max(letters, 1)
+
+
+def test_labels_equal_brute_force():
+    import pyarrow as pa
+
+    model = langid.train([t for _, t, _, _ in sample(60, 3)], [x for _, _, x, _ in sample(60, 3)], steps=25)
+    texts = ["the ing", "sch ung " * 30 + "é", "oui the " * 20, "ü", "the ing", "a1 " * 41]
+    labels, scores = langid.label_texts(model, pa.array([*texts, "", None, "12 !"]))
+    for text, label, score in zip(texts, labels, scores, strict=False):
+        want = plain_labels(model, text)
+        assert label == model.labels[int(np.argmax(want))] and score == pytest.approx(want.max(), abs=1e-4)
+    assert labels[-3:] == ["und"] * 3
+
+
+def test_segments_come_from_whole_texts(documents, monkeypatch):
+    seen = []
+    monkeypatch.setattr(langid, "train", lambda segments, langs, steps: seen.extend(segments))
+    text = "a" * 5_000 + "b" * 5_000
+    langid.fit(documents([(i, text, "en", "s") for i in range(40)]), rows=10, steps=2)
+    assert len(seen) >= 2 * langid.BATCH and all(len(x) == langid.SEGMENT for x in seen)
+    assert 0.35 < sum("b" in x for x in seen) / len(seen) < 0.65
+
+
+def test_held_out_accuracy(spark):
+    import os
+
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    docs = spark.read.parquet(path)
+    model = langid.fit(docs, steps=150)
+    rows = langid.identify(docs, model).join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null and lang_pred <> 'und'").collect()
+    assert len(rows) > 100 and np.mean([r["lang_pred"] == r["lang"] for r in rows]) > 0.97
+
+
 def test_long_text_is_labelled_whole():
     import pyarrow as pa
 
