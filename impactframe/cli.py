@@ -12,16 +12,16 @@ from pathlib import Path
 
 from .plans import index as indexing
 from .plans import report
-from .plans.affected import Index, affected
+from .plans.affected import Index, affected, validate_commands
 from .session import local_session
-from .sources import changes, config
+from .sources import changes, config, listings
 
 
 def metadata_reports(root: str, given: list[str]) -> list[dict]:
     """Package metadata from files, else from the build tool if it is installed."""
     if given:
         return [json.loads(Path(p).read_text()) for p in given]
-    from .sources import listings, scan
+    from .sources import scan
 
     texts = {p: (Path(root) / p).read_text() for p in scan.tracked_paths(root) if p.endswith("Cargo.toml")}
     out = []
@@ -78,6 +78,8 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument("--worktree", action="store_true")
             p.add_argument("--staged", action="store_true")
             p.add_argument("--base-cache")
+            p.add_argument("--provider", help="program that lists affected packages (ripples) and all workspaces (lineup) as JSON")
+            p.add_argument("--validate-nextest", action="store_true", help="list the tests of module commands and widen those without any")
         if name == "explain":
             p.add_argument("--path")
             p.add_argument("--package")
@@ -104,6 +106,34 @@ def current_index(spark, args: argparse.Namespace, changed: list[str]) -> tuple[
     return made, mode
 
 
+def provider_tables(spark, args: argparse.Namespace, paths: list[str]):
+    """Packages (workspace, name, is_directly_affected) and reported workspaces."""
+    told = listings.provided(args.root, args.provider, sorted(set(paths)))
+    return (
+        spark.createDataFrame(told["packages"], "workspace string, name string, is_directly_affected boolean"),
+        spark.createDataFrame(told["workspaces"], "workspace string, workspace_path string"),
+    )
+
+
+def joins_workspaces(spark, index: Index, workspaces: list[tuple[str, str]]):
+    """The packages of the index, and a row without a name for each listed workspace that has
+    none, so that widening reaches it."""
+    listed = spark.createDataFrame(workspaces, "workspace string, workspace_path string")
+    more = listed.join(index["packages"].select("workspace"), "workspace", "left_anti")
+    return index["packages"].unionByName(more, allowMissingColumns=True)
+
+
+def listed_tests(spark, root: str, index: Index, answer):
+    """(workspace, module_filter, test) of the tests that each module command matches; a
+    command whose lister fails matches none. There are at most eight commands a package."""
+    places = {r["workspace"]: r["workspace_path"] for r in index["packages"].select("workspace", "workspace_path").distinct().collect()}
+    rows = []
+    for r in answer.commands.where("mode = 'module'").collect():
+        tests = listings.list_tests(root, places[r["workspace"]], r["args"]) if r["workspace"] in places else None
+        rows += [(r["workspace"], r["args"], t) for t in tests or []]
+    return spark.createDataFrame(rows, "workspace string, args array<string>, test string")
+
+
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     args.root = str(Path(args.root).resolve())
@@ -125,15 +155,22 @@ def main(argv: list[str] | None = None) -> int:
         made, _ = current_index(spark, args, [p for p, _ in rows])
     except (ValueError, FileNotFoundError) as failure:
         made, error = Index(spark), f"the index could not be built: {failure}"
-        from .sources import listings
-
         made.tables["packages"] = listings.package_tables(spark, args.root, metadata_reports(args.root, args.metadata))[0]
     base = indexing.load(spark, args.base_cache) if args.base_cache else None
     if base is not None and not error and base["meta"].first()["package_hash"] != made["meta"].first()["package_hash"]:
         base = None
     texts = [(p, (Path(args.root) / p).read_text()) for p, _ in rows if p.endswith("Cargo.toml") and (Path(args.root) / p).is_file()]
     contents = spark.createDataFrame(texts, "path string, content string")
+    if args.provider:
+        try:
+            options["provider"], options["reported"] = provider_tables(spark, args, [p for p, _ in rows])
+        except (OSError, subprocess.CalledProcessError, ValueError, KeyError) as failure:
+            error = error or f"the provider gave no answer: {failure}"
+            widened = listings.every_workspace(args.root, args.provider)
+            made.tables["packages"] = joins_workspaces(spark, made, widened)
     answer = affected(made, changes.change_table(spark, rows), base=base, contents=contents, index_error=error, **options)
+    if args.validate_nextest:
+        answer.commands = validate_commands(answer.commands, listed_tests(spark, args.root, made, answer))
     show(args, report.as_dict(answer))
     return 0
 

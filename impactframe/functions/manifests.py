@@ -6,15 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .classes import INERT_MANIFEST_KEYS
-from .text import carry_forward, numbered_lines
+from .text import carry_forward, numbered_lines, stripped
 
 
 def changed_lines(files: DataFrame, ranges: DataFrame) -> DataFrame:
     """(path, line_no, line, table, is_header, changed) of the lines of ``files(path,
     content)``; ``ranges(path, start_line, end_line)`` are the changed ones."""
-    lines = numbered_lines(files.where("content is not null"), "content", "path").withColumn("line", F.trim("line"))
+    lines = numbered_lines(files.where("content is not null"), "content", "path").withColumn("line", stripped(F.col("line")))
     header = F.startswith(F.col("line"), F.lit("[")) & F.endswith(F.col("line"), F.lit("]"))
-    name = F.trim(F.regexp_replace("line", r"^\[+|\]+$", ""))
+    name = stripped(F.regexp_replace("line", r"^\[+|\]+$", ""))
     carried = carry_forward(lines, F.when(header, name), "table", "path").withColumn("table", F.coalesce("table", F.lit("")))
     hit = ranges.select("path", F.explode(F.sequence("start_line", "end_line")).alias("line_no")).distinct()
     return carried.withColumn("is_header", header).join(hit.withColumn("changed", F.lit(True)), ["path", "line_no"], "left").withColumn(
@@ -48,7 +48,7 @@ def change_kind(table: Column, line: Column) -> Column:
 def keeps_inert(table: Column, line: Column, is_header: Column) -> Column:
     """Whether a changed line leaves the manifest's meaning as it was."""
     metadata = F.startswith(table, F.lit("package.metadata"))
-    key = F.trim(F.substring_index(line, "=", 1))
+    key = stripped(F.substring_index(line, "=", 1))
     return F.when(is_header, (table == "package") | metadata).otherwise(
         metadata | ((table == "package") & key.isin(INERT_MANIFEST_KEYS))
     )

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import stripped
+
 
 def clean(path: Column) -> Column:
     """Normal form: trimmed, no leading ``./``, forward slashes, no trailing slash."""
-    forward = F.translate(F.regexp_replace(F.trim(path), r"^(\./)+", ""), "\\", "/")
+    forward = F.translate(F.regexp_replace(stripped(path), r"^(\./)+", ""), "\\", "/")
     return F.regexp_replace(forward, "/+$", "")
 
 

@@ -13,6 +13,11 @@ def lines_of(text: Column) -> Column:
     return F.transform(kept, lambda line: F.regexp_replace(line, "\r$", ""))
 
 
+def stripped(text: Column) -> Column:
+    """``text`` without white space of any kind at its ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def numbered_lines(df: DataFrame, text: str, *keys: str) -> DataFrame:
     """(keys, line_no from 1, line)."""
     exploded = df.select(*keys, F.posexplode(lines_of(F.col(text))).alias("line_no", "line"))

@@ -27,7 +27,7 @@ def ladder(*steps: tuple[Column, str], otherwise: str) -> Column:
     return F.lit(otherwise) if column is None else column.otherwise(otherwise)
 
 
-def capped(commands: DataFrame, packages: str, limit: int = MODULE_COMMANDS_PER_PACKAGE) -> DataFrame:
+def capped(commands: DataFrame, packages: str | Column, limit: int = MODULE_COMMANDS_PER_PACKAGE) -> DataFrame:
     """One row: commands, packages, and whether there are more than ``limit`` commands for
     each package (one at least)."""
     return commands.agg(F.count("*").alias("n_commands"), F.count_distinct(packages).alias("n_packages")).withColumn(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -21,9 +21,10 @@ def snapshot_diff(before: DataFrame, after: DataFrame, keys: list[str], value: s
 
 
 def keep_last(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """One row for each key: the last in order."""
-    window = Window.partitionBy(*keys).orderBy(*[c.desc() for c in order])
-    return df.withColumn("_rn", F.row_number().over(window)).where("_rn = 1").drop("_rn")
+    """One row for each key: the last in order, as one aggregate without a sort of groups."""
+    rest = [c for c in df.columns if c not in keys]
+    last = F.max_by(F.struct(*rest), F.struct(*order)).alias("_row")
+    return df.groupBy(*keys).agg(last).select(*keys, "_row.*")
 
 
 def keyed_diff(before: DataFrame, after: DataFrame, keys: list[str], order: str, values: list[str]) -> DataFrame:

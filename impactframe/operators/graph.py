@@ -18,8 +18,14 @@ COMPACT_STEPS = 16
 def bfs_levels(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(seed, node, level): nodes reached from each seed along ``edges(src, dst)``, with the
     least number of steps; a seed reaches itself in none."""
+    return reached_levels(edges, seeds.select("seed", F.col("seed").alias("node")))
+
+
+def reached_levels(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(seed, node, level) from ``starts(seed, node)``: nodes reached from any start of a
+    seed. A seed may be a label of many starts, which are then walked as one."""
     edges = durable(edges.select("src", "dst").where("src <> dst").distinct())
-    frontier = durable(seeds.select("seed", F.col("seed").alias("node")).distinct().withColumn("level", F.lit(0)))
+    frontier = durable(starts.select("seed", "node").distinct().withColumn("level", F.lit(0)))
     reached = frontier
     for level in range(1, MAX_STEPS):
         frontier = durable(
@@ -55,13 +61,12 @@ def induced_edges(edges: DataFrame, closure: DataFrame) -> DataFrame:
 def closure_difference(dependencies: DataFrame, tests: DataFrame, production: DataFrame) -> DataFrame:
     """Nodes that only test seeds reach: the closure of ``tests(seed)`` without the closure
     of ``production(seed)`` and without the test seeds themselves."""
-    both = reverse_closure(
-        dependencies,
-        tests.select(F.lit("t").alias("side"), "seed").unionByName(production.select(F.lit("p").alias("side"), "seed")).select("seed").distinct(),
-    )
-    reached = durable(both)
-    by_tests = reached.join(tests.select("seed").distinct(), "seed", "left_semi").select("node").distinct()
-    by_production = reached.join(production.select("seed").distinct(), "seed", "left_semi").select("node").distinct()
-    return by_tests.join(by_production, "node", "left_anti").join(
-        tests.select(F.col("seed").alias("node")).distinct(), "node", "left_anti"
+    backward = dependencies.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    side = lambda seeds, label: seeds.select(F.lit(label).alias("seed"), F.col("seed").alias("node"))
+    reached = reached_levels(backward, side(tests, "t").unionByName(side(production, "p")))
+    return (
+        reached.groupBy("node")
+        .agg(F.bool_or(F.col("seed") == "p").alias("p"), F.min("level").alias("level"))
+        .where("not p and level > 0")
+        .select("node")
     )

@@ -6,13 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import ancestors
+from ..session import durable
+
+#: Rules broadcast at once.
+RULES = 10_000
 
 
 def longest_prefix_join(df: DataFrame, path: str, roots: DataFrame, root: str, key: str) -> DataFrame:
     """``df`` with the columns of the deepest root that owns its path; null without one.
 
     A path's ancestors are exploded and equi-joined to the roots, so this is a hash join
-    on as many rows as paths have components, not a product. Equal roots: the least key
+    on as many rows as paths have components, not a product. Equal roots: the greatest key
     wins. The best root is one partial aggregate for each distinct path."""
     paths = df.select(F.col(path).alias("_path")).distinct()
     up = paths.select("_path", F.explode(ancestors(F.col("_path"))).alias("_root"))
@@ -22,7 +26,7 @@ def longest_prefix_join(df: DataFrame, path: str, roots: DataFrame, root: str, k
         F.col(key).alias("_key"),
     )
     best = up.join(owned, "_root").groupBy("_path").agg(
-        F.min_by("_owner", F.struct((-F.length("_root")).alias("l"), "_key")).alias("_owner")
+        F.max_by("_owner", F.struct(F.length("_root").alias("l"), "_key")).alias("_owner")
     )
     joined = df.join(best, F.col(path) == F.col("_path"), "left")
     return joined.select(*[df[c] for c in df.columns], *[F.col(f"_owner.{c}").alias(c) for c in roots.columns])
@@ -36,13 +40,39 @@ def anti_prefix_join(df: DataFrame, path: str, roots: DataFrame, root: str) -> D
     return df.join(owned, df[path] == owned["_path"], "left_anti")
 
 
+def _place(df: DataFrame, name: str) -> Column:
+    """A bound as a long: whole numbers as they are, times in microseconds."""
+    kind = df.schema[name].dataType.typeName()
+    if kind == "timestamp_ntz":
+        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(name))
+    return F.unix_micros(F.col(name).cast("timestamp")) if kind in ("timestamp", "date") else F.col(name).cast("long")
+
+
+def _stabbed(points: DataFrame, at: str, spans: DataFrame, keys: list[str], start: str, stop: str) -> DataFrame:
+    """Pairs of equal keys where ``at`` of a point lies in [start, stop].
+
+    A span lies in one or two cells of the grid whose cells are a power of two, not shorter
+    than it; a point lies in one cell of each grid that has spans (64 at most). So this is a
+    hash join on (keys, grid, cell), and one key with many spans is spread over its cells."""
+    first, last = _place(spans, start), _place(spans, stop)
+    # the least power of two above the length, from the number of binary digits
+    grid = F.when(last > first, F.length(F.bin(last - first))).otherwise(0)
+    cells = F.array_distinct(F.array(F.expr("shiftright(_first, _grid)"), F.expr("shiftright(_last, _grid)")))
+    gridded = spans.withColumns({"_first": first, "_last": last, "_grid": grid}).where("_last >= _first")
+    gridded = gridded.withColumn("_cell", F.explode(cells)).drop("_first", "_last")
+    grids = [r["_grid"] for r in gridded.select("_grid").distinct().collect()]
+    place = points.withColumns({"_at": _place(points, at), "_grid": F.explode(F.lit(grids).cast("array<int>"))})
+    place = place.withColumn("_cell", F.expr("shiftright(_at, _grid)")).drop("_at")
+    met = place.join(gridded, [*keys, "_grid", "_cell"]).drop("_grid", "_cell")
+    return met.where((F.col(start) <= F.col(at)) & (F.col(stop) >= F.col(at)))
+
+
 def containing_spans(
     points: DataFrame, spans: DataFrame, keys: list[str], begin: str, end: str, start: str, stop: str
 ) -> DataFrame:
     """Pairs of ``points`` and ``spans`` of equal keys where [begin, end] lies in
-    [start, stop]: an equi-join on the keys with the bounds as condition."""
-    condition = (F.col(start) <= F.col(begin)) & (F.col(stop) >= F.col(end))
-    return points.join(spans, keys).where(condition)
+    [start, stop]."""
+    return _stabbed(points, begin, spans, keys, start, stop).where(F.col(stop) >= F.col(end))
 
 
 def innermost(pairs: DataFrame, keys: list[str], name: str) -> DataFrame:
@@ -53,8 +83,11 @@ def innermost(pairs: DataFrame, keys: list[str], name: str) -> DataFrame:
 def overlapping_spans(
     points: DataFrame, spans: DataFrame, keys: list[str], begin: str, end: str, start: str, stop: str
 ) -> DataFrame:
-    """Pairs of equal keys whose ranges share a place."""
-    return points.join(spans, keys).where((F.col(start) <= F.col(end)) & (F.col(stop) >= F.col(begin)))
+    """Pairs of equal keys whose ranges share a place: the point begins in the span, or the
+    span starts in the point, after its begin."""
+    inside = _stabbed(points, begin, spans, keys, start, stop).where(F.col(end) >= F.col(begin))
+    around = _stabbed(spans, start, points, keys, begin, end).where((F.col(start) > F.col(begin)) & (F.col(stop) >= F.col(start)))
+    return inside.unionByName(around)
 
 
 def validated_lookup(wanted: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
@@ -94,8 +127,23 @@ def classify_by_lookups(df: DataFrame, key: str, positive: DataFrame, negative:
 
 def rule_matches(df: DataFrame, path: str, rules: DataFrame, pattern: str) -> DataFrame:
     """Pairs of rows and rules whose expression the path matches. Rules are a configuration
-    file's entries: a table bounded by what a person writes, so it is broadcast."""
-    return df.join(F.broadcast(rules), F.rlike(F.col(path), F.col(pattern)))
+    file's entries and are broadcast, ``RULES`` at once; more of them go in blocks."""
+    blocks = -(-rules.count() // RULES)
+    if blocks <= 1:
+        return df.join(F.broadcast(rules), F.rlike(F.col(path), F.col(pattern)))
+    kept = durable(rules)
+    numbered = kept.withColumn("_block", F.pmod(F.xxhash64(*kept.columns), F.lit(2 * blocks)))
+    out = None
+    for block in range(2 * blocks):
+        own = F.broadcast(numbered.where(F.col("_block") == block).drop("_block"))
+        met = df.join(own, F.rlike(F.col(path), F.col(pattern)))
+        out = met if out is None else out.unionByName(met)
+    return out
+
+
+def ordered_matches(matches: DataFrame, path: str) -> DataFrame:
+    """Rule matches by path, rule index and source."""
+    return matches.orderBy(path, "rule_index", "source")
 
 
 def first_value(*flags: tuple[Column, str]) -> Column:

@@ -47,6 +47,8 @@ class Report:
     commands: DataFrame
     checks: DataFrame
     chains: DataFrame
+    rules: DataFrame
+    package_reasons: DataFrame
 
 
 def dependency_edges(index: Index) -> DataFrame:
@@ -73,8 +75,13 @@ def explain_inputs(
 ) -> tuple[DataFrame, DataFrame]:
     """(path, kind, reason, owner, failed_wide) of every path, first class that fits; and
     (path, package_id, is_direct) of the packages that each path reaches."""
+    return _explained(index, changes, durable(configured(changes, rules)), default_inert)[:2]
+
+
+def _explained(index: Index, changes: DataFrame, matches: DataFrame, default_inert: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``explain_inputs`` from rule matches, and the closure (seed, node) of the packages that
+    a path reaches directly and of those that own a path: all that later steps ask for."""
     changed = changes.select("path").distinct()
-    matches = durable(configured(changes, rules))
     by_rule = decisions.rule_precedence(matches, "path", "selection").select("path", F.col("is_inert").alias("_ignore"))
     indexed = index["files"].select("path").distinct().withColumn("_indexed", F.lit(True))
     included = index["source_dependencies"].groupBy(F.col("target_path").alias("path")).agg(
@@ -138,7 +145,8 @@ def explain_inputs(
         .unionByName(named.join(is_rule, "path", "left_semi").select("path", "package_id"))
         .distinct()
     )
-    closure = graph.reverse_closure(dependency_edges(index), direct.select(F.col("package_id").alias("seed")).distinct())
+    seeds = direct.select(F.col("package_id").alias("seed")).unionByName(explained.where("owner is not null").select(F.col("owner").alias("seed")))
+    closure = durable(graph.reverse_closure(dependency_edges(index), seeds.distinct()))
     reached = direct.join(closure, direct["package_id"] == closure["seed"]).select("path", F.col("node").alias("package_id"))
     whole = placed.join(is_rule, "path", "left_semi").select("path", "package_id")
     marked = (
@@ -147,7 +155,7 @@ def explain_inputs(
         .groupBy("path", "package_id")
         .agg(F.bool_or("is_direct").alias("is_direct"))
     )
-    return explained, durable(marked)
+    return explained, durable(marked), closure
 
 
 def unknown_rules(index: Index, rules: DataFrame | None) -> list[str]:
@@ -237,13 +245,15 @@ def affected(
     rules: DataFrame | None = None,
     contents: DataFrame | None = None,
     provider: DataFrame | None = None,
+    reported: DataFrame | None = None,
     default_inert: bool = True,
     matched_tests: DataFrame | None = None,
     index_error: str | None = None,
 ) -> Report:
     """Answer for ``changes(path, ranges)`` on the current index, with the base snapshot,
     rules, contents of changed files, a provider's packages (workspace, name,
-    is_directly_affected), and the tests that module commands matched, where given."""
+    is_directly_affected) and the workspaces it reported (those of its packages, unless
+    given), and the tests (workspace, args, test) that module commands matched, where given."""
     spark = changes.sparkSession
     changes = durable(groups.merge_ranges(changes.withColumn("path", paths.clean(F.col("path")))))
     contents = contents if contents is not None else spark.createDataFrame([], "path string, content string")
@@ -253,7 +263,9 @@ def affected(
     missing = unknown_rules(index, rules)
     if missing:
         raise ValueError(f"rules name unknown packages: {', '.join(missing)}")
-    explained, reached = explain_inputs(index, changes, rules, default_inert)
+    matches = durable(configured(changes, rules))
+    explained, reached, closure = _explained(index, changes, matches, default_inert)
+    matches = joins.ordered_matches(matches, "path")
     flagged = durable(test_sources(index, owners(index, changes)))
 
     files, items = _snapshot_status(index, base, changes, flagged)
@@ -279,7 +291,8 @@ def affected(
         return Report(
             {"failed_wide": True, "reason": reason, "strategy": "workspace_wide"}, explained, files, items,
             everything.withColumn("is_directly_affected", F.lit(False)).drop("package_id"), selections, commands,
-            spark.createDataFrame([], "package_id string, n_expected long, n_selected long, n_missing long, result string"), _chains(index, reached),
+            spark.createDataFrame([], "package_id string, n_expected long, n_selected long, n_missing long, result string"),
+            _chains(index, reached, closure), matches, package_reasons(everything.limit(0), [], reason),
         )
 
     live = explained.where("kind <> 'inert'").select("path", "kind")
@@ -288,24 +301,24 @@ def affected(
         told = provider.join(everything, ["workspace", "name"]).select("package_id", "is_directly_affected")
         hit = groups.flag_merge(hit.unionByName(told), ["package_id"], "is_directly_affected")
     wide_spaces = durable(unknown.select("workspace").distinct())
-    strategy, selected, commands = _select(index, changes, flagged, live, unknown, hit, reached, contents, wide_spaces, everything)
+    strategy, selected, commands = _select(index, changes, flagged, live, unknown, hit, closure, contents, wide_spaces, everything)
     if matched_tests is not None:
-        commands = _validated(commands, matched_tests)
+        commands = validate_commands(commands, matched_tests)
 
     production = flagged.join(live, "path", "left_semi").join(unknown.select("path"), "path", "left_anti").where(
         "owner is not null and not is_test_source and not is_bin_entry"
     )
     seeds = production.select(F.col("owner").alias("seed")).distinct()
-    closure = durable(graph.reverse_closure(dependency_edges(index), seeds))
+    owned = durable(closure.join(seeds, "seed", "left_semi"))
     checked = strategy in ("closure", "test_source_package")
     checks = decisions.self_check(
-        closure.where(F.lit(checked)).select(F.col("seed").alias("changed_package"), F.col("node").alias("package_id")),
+        owned.where(F.lit(checked)).select(F.col("seed").alias("changed_package"), F.col("node").alias("package_id")),
         selected.select("package_id").unionByName(everything.join(wide_spaces, "workspace", "left_semi").select("package_id")),
         ["changed_package"], ["package_id"],
     )
     checks = durable(checks)
     if checked and not checks.where("n_missing > 0").isEmpty():
-        lost = closure.select(F.col("node").alias("package_id")).distinct().join(selected.select("package_id"), "package_id", "left_anti")
+        lost = owned.select(F.col("node").alias("package_id")).distinct().join(selected.select("package_id"), "package_id", "left_anti")
         more = lost.join(everything, "package_id").select("workspace").distinct()
         wide_spaces = durable(wide_spaces.unionByName(more).distinct())
         commands = package_commands(selected.join(everything, "package_id"), wide_spaces, "self-check widened the selection")
@@ -315,16 +328,47 @@ def affected(
         "workspace", F.col("is_known").alias("failed_wide"),
         F.when(F.col("is_known"), "workspace could not be narrowed").otherwise(strategy).alias("reason"),
     )
+    if provider is not None:
+        unreported = durable(unreported_workspaces(packages, provider if reported is None else reported))
+        selections = mark_unreported(selections, unreported)
+        commands = groups.replace_partition(commands, unreported, "workspace", _command(unreported, "workspace_wide", UNREPORTED, F.array()))
     n = selections.agg(groups.every(F.col("failed_wide")).alias("w"), F.count("*").alias("n")).first()
     summary = {"failed_wide": bool(n["w"] and n["n"]), "reason": None, "strategy": strategy}
-    return Report(summary, explained, files, items, packages, selections, commands, checks, _chains(index, reached))
+    paths_known = sorted(r["path"] for r in flagged.join(live, "path", "left_semi").join(unknown.select("path"), "path", "left_anti").select("path").collect())
+    reasons = package_reasons(packages, paths_known, strategy)
+    return Report(summary, explained, files, items, packages, selections, commands, checks, _chains(index, reached, closure), matches, reasons)
+
+
+#: Why a workspace is run whole though its packages are known.
+UNREPORTED = "the provider did not report the workspace of a selected package"
+
 
+def unreported_workspaces(packages: DataFrame, provider: DataFrame) -> DataFrame:
+    """(workspace) of selected packages that ``provider(workspace, ...)`` has no row for."""
+    return packages.select("workspace").distinct().join(provider.select("workspace"), "workspace", "left_anti")
 
-def _chains(index: Index, reached: DataFrame) -> DataFrame:
+
+def mark_unreported(selections: DataFrame, unreported: DataFrame) -> DataFrame:
+    """``selections(workspace, failed_wide, reason)`` with the unreported ones wide."""
+    marked = joins.validated_lookup(selections, unreported, ["workspace"])
+    return marked.select(
+        "workspace", (F.col("failed_wide") | F.col("is_known")).alias("failed_wide"),
+        F.when(F.col("is_known"), UNREPORTED).otherwise(F.col("reason")).alias("reason"),
+    )
+
+
+def package_reasons(packages: DataFrame, changed_files: list[str], reason: str) -> DataFrame:
+    """(workspace, name, reason, changed_files) of every selected package: the selection's
+    reason and the known changed files."""
+    files = F.lit(changed_files).cast("array<string>")
+    return packages.select("workspace", "name", F.lit(reason).alias("reason"), files.alias("changed_files"))
+
+
+def _chains(index: Index, reached: DataFrame, closure: DataFrame) -> DataFrame:
     """(seed, src, dst, relationship) of dependency edges inside each direct package's closure."""
     seeds = reached.where("is_direct").select(F.col("package_id").alias("seed")).distinct()
     edges = index["package_dependencies"].select(F.col("package_id").alias("src"), F.col("depends_on_package_id").alias("dst"), "kind")
-    inner = graph.induced_edges(edges.select("src", "dst"), graph.reverse_closure(edges.select("src", "dst"), seeds))
+    inner = graph.induced_edges(edges.select("src", "dst"), closure.join(seeds, "seed", "left_semi"))
     return inner.join(edges, ["src", "dst"]).select(
         "seed", "src", "dst", F.concat(F.lit("reverse Cargo "), "kind", F.lit(" dependency")).alias("relationship")
     ).distinct()
@@ -346,7 +390,7 @@ def _snapshot_status(index: Index, base: Index | None, changes: DataFrame, flagg
     return durable(diff.file_diff(changes, base["files"], index["files"], items, known)), items
 
 
-def _select(index, changes, flagged, live, unknown, hit, reached, contents, wide_spaces, everything):
+def _select(index, changes, flagged, live, unknown, hit, closure, contents, wide_spaces, everything):
     """Strategy, selected packages (package_id, is_directly_affected) and commands."""
     known = flagged.join(live, "path").join(unknown.select("path"), "path", "left_anti")
     included = index["source_dependencies"].select(F.col("target_path").alias("path")).distinct().withColumn("_inc", F.lit(True))
@@ -362,8 +406,6 @@ def _select(index, changes, flagged, live, unknown, hit, reached, contents, wide
         F.count("*").alias("n"),
         groups.some(c("kind") == "configured_repository_input").alias("rule"),
         groups.every(F.coalesce("all_inside", F.lit(False)) & c("owner").isNotNull() & c("is_src")).alias("modules"),
-        F.sum(F.coalesce(F.size("modules"), F.lit(0))).alias("n_modules"),
-        F.count_distinct("owner").alias("n_packages"),
         groups.some(c("is_test_target")).alias("a_target"),
         groups.every(c("is_test_source")).alias("all_tests"),
         groups.some(production).alias("production"),
@@ -377,11 +419,12 @@ def _select(index, changes, flagged, live, unknown, hit, reached, contents, wide
     local = lambda reason: package_commands(own.join(everything, "package_id"), wide_spaces, reason)
     if flags["n"] and not flags["rule"]:
         if flags["modules"]:
-            if flags["n_modules"] > decisions.MODULE_COMMANDS_PER_PACKAGE * max(1, flags["n_packages"]):
-                return "package", own, local("more module filters than a package is worth")
             rows = known.join(names, "owner").select("workspace", "name", "path", "relative", F.explode("modules").alias("module"))
             rows = rows.withColumn("filter", paths.module_filter(c("relative"), c("module")))
-            grouped = rows.groupBy("workspace", "name", "filter").agg(groups.collect_sorted(c("path")).alias("files"))
+            # commands are counted after files that need the same one are merged
+            grouped = durable(rows.groupBy("workspace", "name", "filter").agg(groups.collect_sorted(c("path")).alias("files")))
+            if decisions.capped(grouped, F.struct("workspace", "name")).first()["over_cap"]:
+                return "package", own, local("more module filters than a package is worth")
             args = F.array(F.lit("-p"), c("name"), c("filter"))
             return "module", own, _command(grouped, "module", "changes lie in test modules", args, c("filter"), c("files"))
         if flags["a_target"] and flags["all_tests"] and not flags["included"]:
@@ -400,23 +443,26 @@ def _select(index, changes, flagged, live, unknown, hit, reached, contents, wide
     tests = known.where("owner is not null").groupBy("owner").agg(groups.every(c("is_test_source") & ~is_included).alias("only")).where("only")
     tests = tests.select(F.col("owner").alias("seed"))
     others = hit.where("is_directly_affected").select(F.col("package_id").alias("seed")).join(tests, "seed", "left_anti")
-    drop = graph.closure_difference(dependency_edges(index), tests, others)
+    by_others = closure.join(others.distinct(), "seed", "left_semi").select("node")
+    drop = closure.join(tests, "seed", "left_semi").where("seed <> node").select("node").distinct()
+    drop = drop.join(by_others, "node", "left_anti").join(tests, F.col("node") == tests["seed"], "left_anti")
     selected = durable(hit.join(drop.select(F.col("node").alias("package_id")), "package_id", "left_anti"))
     return "closure", selected, package_commands(selected.join(everything, "package_id"), wide_spaces, "reverse dependency closure")
 
 
-def _validated(commands: DataFrame, matched: DataFrame) -> DataFrame:
-    """Module commands without a matching test in ``matched(workspace, module_filter,
-    test)`` run their package instead, or the workspace where no package is named."""
+def validate_commands(commands: DataFrame, matched: DataFrame) -> DataFrame:
+    """Module commands without a matching test in ``matched(workspace, args, test)`` run their
+    package instead, or the workspace where no package is named."""
     package = F.get("args", F.array_position("args", F.lit("-p")).cast("int"))
-    keyed = commands.withColumn("package", package)
-    found = matched.groupBy("workspace", "module_filter").agg(groups.collect_sorted(F.col("test")).alias("_tests"))
-    out = decisions.widen_unmatched(keyed, matched.select("workspace", "module_filter"), ["workspace", "module_filter"])
-    out = out.join(found, ["workspace", "module_filter"], "left").join(commands.select("workspace", "module_filter", F.col("mode").alias("_old")).distinct(), ["workspace", "module_filter"], "left")
+    found = matched.groupBy("workspace", "args").agg(groups.collect_sorted(F.col("test")).alias("_tests"))
+    keyed = commands.withColumns({"package": package, "_old": F.col("mode")})
+    out = decisions.widen_unmatched(keyed, matched.select("workspace", "args"), ["workspace", "args"]).join(found, ["workspace", "args"], "left")
     changed = F.col("mode") != F.col("_old")
-    args = F.when(~changed, F.col("args")).when(F.col("mode") == "package", F.array(F.lit("-p"), F.col("package"))).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    args = F.when(~changed, F.col("args")).when(F.col("mode") == "package", F.array(F.lit("-p"), F.col("package"))).otherwise(none)
+    reason = F.when(F.col("mode") == "package", "the module filter matched no tests").otherwise("the module filter could not be validated")
     return out.select(
-        "workspace", "mode", args.alias("args"), "module_filter",
-        F.when(changed, F.col("_old")).alias("widened_from"), F.coalesce("_tests", F.array().cast("array<string>")).alias("matched_tests"),
-        "reason", "changed_files",
+        "workspace", "mode", args.alias("args"), F.when(~changed, F.col("module_filter")).alias("module_filter"),
+        F.when(changed, F.col("_old")).alias("widened_from"), F.coalesce("_tests", none).alias("matched_tests"),
+        F.when(changed, reason).otherwise(F.col("reason")).alias("reason"), "changed_files",
     )

@@ -100,7 +100,7 @@ def build(spark: SparkSession, root: str, reports: list[dict], tracked: list[str
     paths = tracked if tracked is not None else scan.tracked_paths(root)
     listed = spark.createDataFrame([(p,) for p in paths], "path string")
     sources = scan.keep_paths(listed, "path", scan.SKIPPED, ".rs")
-    files = durable(scan.read_files(spark, root, sources))
+    files = durable(scan.read_files(spark, root, [p for p in paths if scan.is_source(p)]))
     gone = [r["path"] for r in scan.inaccessible(sources, files).collect()]
     if gone:
         raise FileNotFoundError(f"tracked files are missing: {', '.join(sorted(gone))}")
@@ -138,12 +138,19 @@ def update(
     ) or (meta["root"] != root and meta["tracked_list_hash"] != _identity(*sorted(paths))):
         index = build(spark, root, reports, paths, head)
         return index, index["files"].select("path", F.lit("reparsed").alias("decision")), "cold_rebuild"
-    listed = spark.createDataFrame([(p,) for p in paths], "path string")
-    files = durable(scan.read_files(spark, root, scan.keep_paths(listed, "path", scan.SKIPPED, ".rs")))
     named = spark.createDataFrame([(p,) for p in changed], "path string")
-    decided = durable(
-        diff.incremental_reuse(files, previous["files"], named, meta["file_list_hash"] == _identity(*rust), meta["root"] == root)
-    )
+    same_list, same_root = meta["file_list_hash"] == _identity(*rust), meta["root"] == root
+    sources = [p for p in paths if scan.is_source(p)]
+    if same_list and same_root:
+        # what is not listed as changed is trusted: neither read nor hashed
+        listed = set(changed)
+        files = durable(scan.read_files(spark, root, [p for p in sources if p in listed]))
+        trusted = previous["files"].join(named, "path", "left_anti").select("path", "hash")
+        current = files.select("path", "hash").unionByName(trusted)
+    else:
+        files = durable(scan.read_files(spark, root, sources))
+        current = files
+    decided = durable(diff.incremental_reuse(current, previous["files"], named, same_list, same_root))
     stale = durable(decided.where("decision in ('reparsed', 'removed')"))
     if stale.isEmpty() and meta["root"] == root:
         return previous, decided, "warm_unmodified"

@@ -21,7 +21,10 @@ def _rows(df: DataFrame) -> list[dict]:
 
 def as_dict(report: Report) -> dict:
     tables = ("explanations", "files", "items", "packages", "workspaces", "commands", "checks", "chains")
-    return {"schema_version": SCHEMA_VERSION, **report.summary, **{t: _rows(getattr(report, t)) for t in tables}}
+    shown = {t: _rows(getattr(report, t)) for t in tables}
+    shown["package_reasons"] = _rows(report.package_reasons)
+    shown["rules"] = [r.asDict(recursive=True) for r in report.rules.collect()]  # in their own order
+    return {"schema_version": SCHEMA_VERSION, **report.summary, **shown}
 
 
 def as_text(summary: dict) -> str:

@@ -6,13 +6,15 @@ the same for tables of such texts."""
 from __future__ import annotations
 
 import json
+import re
 import subprocess
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import carry_forward, json_block, numbered_lines
+from ..functions.text import carry_forward, json_block, numbered_lines, stripped
+from ..session import durable
 
 SCHEMA = "path string, ranges array<struct<start_line int, end_line int>>"
 # The keys of an object that may hold further paths.
@@ -21,9 +23,7 @@ NESTED_KEYS = ["files", "paths", "changed_files", "items", "values"]
 
 def trimmed_lines(text: Column) -> Column:
     """Trimmed, non-empty lines; blanks inside a line stay."""
-    return F.filter(
-        F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != ""
-    )
+    return F.filter(F.transform(F.split(text, "\n"), stripped), lambda x: x != "")
 
 
 def _ranges(found) -> list[tuple[int, int]]:
@@ -67,9 +67,10 @@ def change_table(spark: SparkSession, rows: list[tuple[str, list[tuple[int, int]
     return spark.createDataFrame(rows, SCHEMA)
 
 
-def json_path_rows(df: DataFrame, key: str, text: str, depth: int = 4) -> DataFrame:
-    """(key, path) of JSON texts in a table, to a fixed depth of nesting, without Python.
-    Each level turns a value into its path, or into the values it holds, in one pass."""
+def json_path_rows(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, path) of JSON texts in a table, however deep they are nested, without Python.
+    Each pass turns a value into its path, or into the values it holds, until none is left;
+    a pass reads only what the one before it has opened."""
     kind = F.schema_of_variant("v")
     is_object = F.startswith(kind, F.lit("OBJECT"))
     own = F.when(kind == "STRING", F.expr("try_variant_get(v, '$', 'string')")).when(
@@ -77,14 +78,21 @@ def json_path_rows(df: DataFrame, key: str, text: str, depth: int = 4) -> DataFr
     )
     arrays = F.when(F.startswith(kind, F.lit("ARRAY")), F.expr("try_variant_get(v, '$', 'array<variant>')"))
     held = F.when(is_object, F.array_compact(F.array(*[F.expr(f"try_variant_get(v, '$.{k}', 'variant')") for k in NESTED_KEYS])))
-    level = df.select(key, F.try_parse_json(text).alias("v"), F.lit(None).cast("string").alias("path"))
-    for step in range(depth + 1):
-        found = F.coalesce("path", own)
-        done = F.array(F.struct(F.lit(None).cast("variant").alias("v"), found.alias("path")))
-        below = F.transform(F.coalesce(arrays, held), lambda x: F.struct(x.alias("v"), F.lit(None).cast("string").alias("path")))
-        inner = F.when(found.isNotNull(), done)
-        level = level.select(key, F.inline(inner if step == depth else inner.otherwise(below)))
-    return level.select(key, "path")
+    none = F.lit(None).cast("string")
+    level = df.select(key, F.try_parse_json(text).alias("v"))
+    found: list[DataFrame] = []
+    while True:
+        done = F.array(F.struct(F.lit(None).cast("variant").alias("v"), own.alias("path")))
+        below = F.transform(F.coalesce(arrays, held), lambda x: F.struct(x.alias("v"), none.alias("path")))
+        level = durable(level.select(key, F.inline(F.when(own.isNotNull(), done).otherwise(below))))
+        found.append(level.where("path is not null").select(key, "path"))
+        level = level.where("path is null and v is not null").select(key, "v")
+        if level.isEmpty():
+            break
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def diff_ranges(df: DataFrame, text: str, *keys: str) -> DataFrame:
@@ -141,7 +149,7 @@ def combine(*sets: DataFrame) -> DataFrame:
 
 def git_changes(repo: str, *args: str) -> list[tuple[str, list[tuple[int, int]]]]:
     """Paths and changed new lines of ``git diff`` with the given arguments."""
-    command = ["git", "-C", repo, "diff", "--no-color", "--no-ext-diff", "-M", "-C"]
+    command = ["git", "-c", "core.quotepath=off", "-C", repo, "diff", "--no-color", "--no-ext-diff", "-M", "-C"]
     names = subprocess.run([*command, "--name-status", "-z", *args], capture_output=True, check=True).stdout
     found: dict[str, list[tuple[int, int]]] = {}
     fields = iter(names.decode().split("\0"))
@@ -151,20 +159,44 @@ def git_changes(repo: str, *args: str) -> list[tuple[str, list[tuple[int, int]]]
             if status[0] in "RC":
                 found.setdefault(next(fields), [])
     patch = subprocess.run([*command, "--unified=0", *args], capture_output=True, check=True).stdout
-    path, line = None, 0
-    import re
-
-    for text in patch.decode(errors="replace").split("\n"):
-        if text.startswith("+++ "):
-            path = text[6:] if text.startswith("+++ b/") else None
-        elif m := re.match(r"@@ -\S+ \+(\d+)", text):
-            line = int(m[1])
-        elif text.startswith("+") and path is not None:
-            found.setdefault(path, []).append((line, line))
-            line += 1
+    for path, line in added_lines(patch.decode(errors="replace")):
+        found.setdefault(path, []).append((line, line))
     return list(found.items())
 
 
+def added_lines(patch: str) -> Iterator[tuple[str, int]]:
+    """(path, new line number) of the lines that a git patch adds. A hunk's header says how
+    many old and new lines follow, so a line of text is never taken for a file's header."""
+    path, line, old, new = None, 0, 0, 0
+    for text in patch.split("\n"):
+        if old > 0 or new > 0:
+            sign = text[:1]
+            if sign == "+":
+                if path is not None:
+                    yield path, line
+                line, new = line + 1, new - 1
+            elif sign == "-":
+                old -= 1
+            elif sign != "\\":
+                line, old, new = line + 1, old - 1, new - 1
+        elif text.startswith("+++ "):
+            name = _unquoted(text[4:].rstrip("\t"))
+            path = name[2:] if name.startswith("b/") else None
+        elif m := re.match(r"@@ -\d+(?:,(\d+))? \+(\d+)(?:,(\d+))? @@", text):
+            line, old, new = int(m[2]), int(m[1] or 1), int(m[3] or 1)
+
+
+def _unquoted(name: str) -> str:
+    """A name as git writes it: in quotes, with C escapes, if it has special characters."""
+    if not (name.startswith('"') and name.endswith('"')):
+        return name
+    plain = {"a": 7, "b": 8, "t": 9, "n": 10, "v": 11, "f": 12, "r": 13, '"': 34, "\\": 92}
+    out = bytearray()
+    for octal, letter, other in re.findall(r"\\([0-7]{3})|\\(.)|([^\\]+)", name[1:-1]):
+        out += bytes([int(octal, 8)]) if octal else bytes([plain[letter]]) if letter else other.encode()
+    return out.decode(errors="replace")
+
+
 def revisions(repo: str, base: str, head: str):
     return git_changes(repo, base, head)
 

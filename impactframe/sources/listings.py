@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import os
+import subprocess
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +22,50 @@ def matching_tests(df: DataFrame, listing: str, *keys: str) -> DataFrame:
     return cases.where(F.col("c.filter-match.status") == "matches").select(*keys, "suite", "test").distinct()
 
 
+def list_tests(root: str, workspace_path: str, args: list[str], program: str = "cargo") -> list[str] | None:
+    """Names of the tests that a command's arguments match, from the test lister in the
+    workspace's folder, sorted; None if the lister is missing, fails or answers no JSON."""
+    command = [program, "nextest", "list", "--message-format", "json", *args]
+    try:
+        out = subprocess.run(command, cwd=os.path.join(root, workspace_path), capture_output=True, check=True).stdout
+        answer = json.loads(out)
+    except (OSError, subprocess.CalledProcessError, ValueError):
+        return None
+    suites = answer.get("rust-suites") if isinstance(answer, dict) else None
+    cases = [s.get("testcases") for s in suites.values()] if isinstance(suites, dict) else []
+    return sorted({
+        name for own in cases if isinstance(own, dict) for name, case in own.items()
+        if ((case or {}).get("filter-match") or {}).get("status") == "matches"
+    })
+
+
+def _json_block(text: str, program: str) -> dict:
+    """The JSON object in a program's answer, from the first ``{`` to the last ``}``."""
+    first, last = text.find("{"), text.rfind("}")
+    if first < 0 or last < first:
+        raise ValueError(f"{program} answered no JSON object")
+    return json.loads(text[first : last + 1])
+
+
+def provided(root: str, program: str, paths: list[str]) -> dict[str, list[tuple]]:
+    """What an external program says that ``paths`` affect: ``packages`` (workspace, name,
+    is_directly_affected) and ``workspaces`` (name, path). It is run as ``PROGRAM ripples
+    --format json PATHS``; an answer that cannot be had is an error."""
+    run = subprocess.run([program, "ripples", "--format", "json", *paths], cwd=root, capture_output=True, check=True)
+    answer = _json_block(run.stdout.decode(errors="replace"), program)
+    rows = answer.get("affected_crates", [])
+    return {
+        "packages": sorted({(r["workspace"], r["name"], bool(r.get("is_directly_affected"))) for r in rows}),
+        "workspaces": sorted({(r["name"], r["path"]) for r in answer.get("affected_workspaces", [])}),
+    }
+
+
+def every_workspace(root: str, program: str) -> list[tuple[str, str]]:
+    """(name, path) of all workspaces by ``PROGRAM lineup --format json``, to widen to."""
+    run = subprocess.run([program, "lineup", "--format", "json"], cwd=root, capture_output=True, check=True)
+    return sorted({(r["name"], r["path"]) for r in _json_block(run.stdout.decode(errors="replace"), program).get("workspaces", [])})
+
+
 def _relative(path: str, root: str) -> str | None:
     root = root.rstrip("/")
     if path == root:

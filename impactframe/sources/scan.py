@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import re
 import subprocess
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,14 +32,25 @@ def hashed(df: DataFrame, content: str) -> DataFrame:
     return df.withColumns({"hash": F.sha2(raw, 256), "byte_len": F.octet_length(raw).cast("long")})
 
 
-def read_files(spark: SparkSession, repo: str, tracked: DataFrame) -> DataFrame:
-    """(path, hash, byte_len, content) of tracked files; tracked but missing files are not
-    among them, see ``inaccessible``."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(repo)
+def is_source(path: str, suffix: str = ".rs") -> bool:
+    """``keep_paths`` for one path."""
+    return path.endswith(suffix) and not set(path.split("/")) & set(SKIPPED)
+
+
+def read_files(spark: SparkSession, repo: str, listed: list[str]) -> DataFrame:
+    """(path, hash, byte_len, content) of the listed files below ``repo``, and of no others:
+    only they are opened. Listed but missing files are not among them, see ``inaccessible``."""
     root = repo.rstrip("/")
-    relative = F.regexp_replace(F.regexp_replace("path", r"^file:/+", "/"), f"^{root}/", "")
-    rows = files.select(relative.alias("path"), "content").join(tracked.select("path"), "path", "left_semi")
-    return hashed(rows, "content").withColumn("content", F.col("content").cast("string"))
+    there = [p for p in listed if os.path.isfile(f"{root}/{p}")]
+    if not there:
+        return spark.createDataFrame([], "path string, hash string, byte_len long, content string")
+    # the reader takes paths as patterns
+    exact = [re.sub(r"([\\{}\[\]*?,])", r"\\\1", f"{root}/{p}") for p in there]
+    files = spark.read.format("binaryFile").load(exact)
+    relative = F.substring(F.regexp_replace("path", r"^file:/+", "/"), len(root) + 2, 1 << 20)
+    return hashed(files.select(relative.alias("path"), "content"), "content").select(
+        "path", "hash", "byte_len", F.col("content").cast("string").alias("content")
+    )
 
 
 def inaccessible(tracked: DataFrame, files: DataFrame) -> DataFrame:

@@ -57,7 +57,7 @@ def test_modules_narrow_and_one_bad_range_does_not(spark):
 def test_module_without_matching_test_is_widened(spark):
     path = "nodes/lone/src/lib.rs"
     index = chain_index(spark, items=[(path, "Mod", "tests", 10, 20, True)])
-    none = spark.createDataFrame([], "workspace string, module_filter string, test string")
+    none = spark.createDataFrame([], "workspace string, args array<string>, test string")
     r = affected(index, changed(spark, (path, [(13, 13)])), matched_tests=none)
     row = r.commands.collect()[0]
     assert (row["mode"], row["args"], row["widened_from"]) == ("package", ["-p", "lone"], "module")
