@@ -115,7 +115,7 @@ def provider_tables(spark, args: argparse.Namespace, paths: list[str]):
     )
 
 
-def joins_workspaces(spark, index: Index, workspaces: list[tuple[str, str]]):
+def with_workspaces(spark, index: Index, workspaces: list[tuple[str, str]]):
     """The packages of the index, and a row without a name for each listed workspace that has
     none, so that widening reaches it."""
     listed = spark.createDataFrame(workspaces, "workspace string, workspace_path string")
@@ -167,7 +167,7 @@ def main(argv: list[str] | None = None) -> int:
         except (OSError, subprocess.CalledProcessError, ValueError, KeyError) as failure:
             error = error or f"the provider gave no answer: {failure}"
             widened = listings.every_workspace(args.root, args.provider)
-            made.tables["packages"] = joins_workspaces(spark, made, widened)
+            made.tables["packages"] = with_workspaces(spark, made, widened)
     answer = affected(made, changes.change_table(spark, rows), base=base, contents=contents, index_error=error, **options)
     if args.validate_nextest:
         answer.commands = validate_commands(answer.commands, listed_tests(spark, args.root, made, answer))

@@ -27,10 +27,12 @@ def ladder(*steps: tuple[Column, str], otherwise: str) -> Column:
     return F.lit(otherwise) if column is None else column.otherwise(otherwise)
 
 
-def capped(commands: DataFrame, packages: str | Column, limit: int = MODULE_COMMANDS_PER_PACKAGE) -> DataFrame:
-    """One row: commands, packages, and whether there are more than ``limit`` commands for
-    each package (one at least)."""
-    return commands.agg(F.count("*").alias("n_commands"), F.count_distinct(packages).alias("n_packages")).withColumn(
+def capped(
+    commands: DataFrame, packages: str | Column, limit: int = MODULE_COMMANDS_PER_PACKAGE, keys: list[str] | None = None
+) -> DataFrame:
+    """One row, or one for each of ``keys``: commands, packages, and whether there are more
+    than ``limit`` commands for each package (one at least)."""
+    return commands.groupBy(*(keys or [])).agg(F.count("*").alias("n_commands"), F.count_distinct(packages).alias("n_packages")).withColumn(
         "over_cap", F.col("n_commands") > F.lit(limit) * F.greatest(F.lit(1), F.col("n_packages"))
     )
 

@@ -60,6 +60,11 @@ def first_by_priority(sources: list[DataFrame], keys: list[str], order: list[str
     return ranked.withColumn("_rn", F.row_number().over(window)).where("_rn = 1").drop("_rn", "_source")
 
 
+def totals(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """Sum of a group's values, 0 where it has none."""
+    return df.groupBy(*keys).agg(F.coalesce(F.sum(value), F.lit(0)).cast("long").alias(name))
+
+
 def replace_partition(df: DataFrame, wide: DataFrame, key: str, made: DataFrame) -> DataFrame:
     """``df`` without the rows of keys in ``wide``, and the rows made for those keys."""
     return df.join(wide.select(key).distinct(), key, "left_anti").unionByName(made, allowMissingColumns=True)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import __version__, schemas
-from ..operators import diff, joins
+from ..operators import diff, groups, joins
 from ..session import durable
 from ..sources import listings, scan
 from ..sources.rust import RustSyntaxError, parse
@@ -212,6 +212,6 @@ def load(spark: SparkSession, path: str) -> Index | None:
 def summary(index: Index) -> dict:
     """Counts of the index tables and the bytes of its sources."""
     out = {name: index[name].count() for name in schemas.TABLES if name != "meta"}
-    out["source_bytes"] = index["files"].agg(F.sum("byte_len")).first()[0] or 0
+    out["source_bytes"] = groups.totals(index["files"], [], "byte_len", "n").first()["n"]
     out["test_items"] = index["items"].where("is_test").count()
     return out

@@ -32,6 +32,6 @@ registry = Registry()
 
 
 def load() -> Registry:
-    from . import decision_queries, graph_queries, group_queries, join_queries, text_queries  # noqa: F401
+    from . import decision_queries, graph_queries, group_queries, join_queries, plan_queries, text_queries  # noqa: F401
 
     return registry

@@ -31,9 +31,9 @@ def group_collect_set(t):
     return groups.merge_ranges(ranges_of(t)).select("path", shown("ranges").alias("ranges"))
 
 
-@registry.add("with " + RANGES.format(where="where event_id % 2 = 0 or event_id % 3 = 0"))
+@registry.add("with " + RANGES.format(where=""))
 def union_merge(t):
-    both = changes.combine(ranges_of(t, "event_id % 2 = 0"), ranges_of(t, "event_id % 3 = 0"))
+    both = changes.combine(ranges_of(t, "event_type in ('click', 'view')"), ranges_of(t, "event_type <> 'click'"))
     return both.select("path", shown("ranges").alias("ranges"))
 
 

@@ -47,21 +47,21 @@ def _spans(t):
 
 
 @registry.add(f"""with {SPANS}, m as (select event_id, nm, row_number() over (partition by event_id order by length(nm) desc) rn
-  from events e join sp s on e.user_id = s.user_id and s.st <= ts and s.en >= ts where event_type = 'click')
+  from events e join sp s on e.user_id = s.user_id and s.st <= ts and s.en >= ts)
 select event_id, nm from m where rn = 1""")
 def interval_containment_join(t):
-    clicks = t("events").where("event_type = 'click'").select("event_id", "user_id", "ts")
-    pairs = joins.containing_spans(clicks, _spans(t), ["user_id"], "ts", "ts", "st", "en")
+    points = t("events").select("event_id", "user_id", "ts")
+    pairs = joins.containing_spans(points, _spans(t), ["user_id"], "ts", "ts", "st", "en")
     return joins.innermost(pairs, ["event_id"], "nm")
 
 
 @registry.add(f"""with {SPANS} select event_id, nm, count(*)::bigint n from events e join sp s on e.user_id = s.user_id
-  and s.st <= e.ts + interval 30 minute and s.en >= e.ts where event_type = 'view' group by 1, 2""")
+  and s.st <= e.ts + interval 30 minute and s.en >= e.ts group by 1, 2""")
 def interval_overlap_join(t):
-    views = t("events").where("event_type = 'view'").select(
+    points = t("events").select(
         "event_id", "user_id", "ts", (F.col("ts") + F.expr("interval 30 minutes")).alias("te")
     )
-    pairs = joins.overlapping_spans(views, _spans(t), ["user_id"], "ts", "te", "st", "en")
+    pairs = joins.overlapping_spans(points, _spans(t), ["user_id"], "ts", "te", "st", "en")
     return pairs.groupBy("event_id", "nm").agg(F.count("*").alias("n"))
 
 

@@ -39,12 +39,12 @@ def parse_lines(t):
 
 @registry.add("""with e as (select event_id, json_extract_string(props, '$.k') k from events)
 select event_id, 'a/' || k path from e union all select event_id, 'b/' || k from e
-union all select event_id, 'c/' || k from e""")
+union all select event_id, 'c/' || k from e union all select event_id, 'd/' || k from e""")
 def json_extract(t):
     k = F.get_json_object("props", "$.k")
     body = F.concat(
         F.lit('{"files":[{"path":"a/'), k, F.lit('","items":["no"]},"b/'), k, F.lit('"],"other":["no"],"items":{"values":["c/'), k,
-        F.lit('"]}}'),
+        F.lit('",' + '[{"files":' * 6 + '"d/'), k, F.lit('"' + "}]" * 6 + "]}}"),
     )
     return changes.json_path_rows(t("events").select("event_id", body.alias("body")), "event_id", "body")
 

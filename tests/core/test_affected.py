@@ -150,3 +150,25 @@ def test_provider_rows_are_added_not_trusted(spark):
     told = spark.createDataFrame([("nodes", "lone", False)], "workspace string, name string, is_directly_affected boolean")
     r = affected(chain_index(spark), changed(spark, "core/math/src/lib.rs"), provider=told)
     assert ("nodes", "package", ("-p", "api", "-p", "lone")) in commands(r)
+    # the provider did not report the other workspaces of selected packages: they run whole
+    assert ("core", "workspace_wide", ()) in commands(r) and ("sdk", "workspace_wide", ()) in commands(r)
+    assert {x["workspace"]: x["failed_wide"] for x in r.workspaces.collect()} == {"core": True, "sdk": True, "nodes": False}
+    assert r.package_reasons.where("name = 'math'").first()["changed_files"] == ["core/math/src/lib.rs"]
+
+
+def test_equal_module_commands_count_once(spark):
+    """A library and an entry point with one module name need one command each name."""
+    paths = ["nodes/lone/src/lib.rs", "nodes/lone/src/main.rs"]
+    items = [(p, "Mod", f"t{i}", 10 * i + 1, 10 * i + 9, True) for p in paths for i in range(6)]
+    index = chain_index(spark, files=[(paths[1], "h")], items=items)
+    r = affected(index, changed(spark, *[(p, [(10 * i + 2, 10 * i + 2) for i in range(6)]) for p in paths]))
+    assert r.summary["strategy"] == "module" and r.commands.count() == 6
+
+
+def test_tabs_do_not_make_an_edit_inert(spark):
+    text = "[package]\nname = 'm'\n\t[dependencies]\n\treadme = '1'\n\u2003[features]\nx = []\n"
+    manifest = spark.createDataFrame([("core/math/Cargo.toml", text)], "path string, content string")
+    index = make(spark, CHAIN, LINKS)
+    for line in (4, 6):
+        r = affected(index, changed(spark, ("core/math/Cargo.toml", [(line, line)])), contents=manifest)
+        assert {x[0] for x in commands(r)} == {"core", "sdk", "nodes"}

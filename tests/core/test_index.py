@@ -90,3 +90,44 @@ def test_unreadable_source_and_missing_file_fail(spark, repo):
     with pytest.raises(FileNotFoundError):
         indexing.build(spark, str(repo), reports(str(repo)))
     assert "core/math/src/inner.rs" in scan.tracked_paths(str(repo))
+
+
+def test_git_sources_and_commands(spark, repo, tmp_path, monkeypatch, capsys):
+    from impactframe import cli
+
+    root = str(repo)
+    git(repo, "checkout", "-qb", "topic")
+    (repo / "core/math/src/inner.rs").write_text("pub struct S;\n++ note\npub struct T;\n")
+    git(repo, "commit", "-qam", "change")
+    assert changes.revisions(root, "HEAD~1", "HEAD") == [("core/math/src/inner.rs", [(2, 2), (3, 3)])]
+    assert changes.merge_base(root, "HEAD~1") == changes.revisions(root, "HEAD~1", "HEAD")
+    (repo / "core/math/src/inner.rs").write_text("pub struct S;\n")
+    git(repo, "add", "-A")
+    assert changes.staged(root) == [("core/math/src/inner.rs", [])]
+    (tmp_path / "meta.json").write_text(json.dumps(reports(root)[0]))
+    monkeypatch.setattr(cli, "local_session", lambda: spark)
+    options = ["--root", root, "--metadata", str(tmp_path / "meta.json"), "--cache", str(tmp_path / "cache"), "--format", "json"]
+    assert cli.cache_path(root, None) == f"{root}/target/impactframe"
+    assert cli.main(["index", *options]) == 0
+    assert json.loads(capsys.readouterr().out)["mode"] == "cold_rebuild"
+    told = tmp_path / "told"
+    told.write_text("""#!/bin/sh\necho '{"affected_crates": [], "affected_workspaces": [{"name": "core", "path": "core"}]}'\n""")
+    told.chmod(0o755)
+    assert cli.main(["affected", *options, "--staged", "--provider", str(told), "--validate-nextest"]) == 0
+    answer = json.loads(capsys.readouterr().out)
+    assert [c["args"] for c in answer["commands"]] == [["-p", "app", "-p", "math"]]
+    assert {r["name"]: r["changed_files"] for r in answer["package_reasons"]} == dict.fromkeys(["app", "math"], ["core/math/src/inner.rs"])
+    assert cli.main(["explain", *options, "--path", "core/shared.txt"]) == 0
+    assert json.loads(capsys.readouterr().out)["explanations"][0]["kind"] == "included_source"
+
+
+def test_trusted_files_are_not_read(spark, repo):
+    root = str(repo)
+    made = indexing.build(spark, root, reports(root))
+    (repo / "core/math/src/lib.rs").write_text("not rust at all {")
+    (repo / "core/math/src/inner.rs").write_text("pub struct S2;\n")
+    now, decided, mode = indexing.update(spark, root, reports(root), made, ["core/math/src/inner.rs"])
+    assert {r["path"]: r["decision"] for r in decided.collect()} == {
+        "core/math/src/inner.rs": "reparsed", "core/math/src/lib.rs": "trusted", "core/app/src/main.rs": "trusted",
+    }
+    assert now["files"].count() == 3 and now["items"].where("name = 'S2'").count() == 1

@@ -92,3 +92,65 @@ def test_candidate_manifests():
 
 def test_text_report():
     assert as_text({"a": True, "b": None, "c": [1, 2], "d": "x"}) == "a: true\nb: -\nc: 2\nd: x"
+
+
+def test_added_lines_of_a_patch():
+    patch = "--- a/x.rs\n+++ b/x.rs\n@@ -0,0 +1,3 @@\n+++ note\n+-- b\n+last\n\\ No newline at end of file\n"
+    patch += '--- "a/\\303\\274 \\"q\\".rs"\n+++ "b/\\303\\274 \\"q\\".rs"\n@@ -4 +7 @@ fn\n--- old\n+++ new\n--- a/gone\n+++ /dev/null\n@@ -1 +0,0 @@\n-x\n'
+    assert list(changes.added_lines(patch)) == [("x.rs", 1), ("x.rs", 2), ("x.rs", 3), ('ü "q".rs', 7)]
+
+
+def test_json_of_any_depth(spark):
+    deep = "[" * 12 + '"p", {"files": [[{"path": "q"}]]}' + "]" * 12
+    df = spark.createDataFrame([(1, deep), (2, "no json"), (3, None), (4, "[]"), (5, '"r"')], "k int, t string")
+    assert sorted((r["k"], r["path"]) for r in changes.json_path_rows(df, "k", "t").collect()) == [(1, "p"), (1, "q"), (5, "r")]
+    assert changes.json_path_rows(df.where("false"), "k", "t").count() == 0
+
+
+def test_rules_in_blocks(spark, monkeypatch):
+    from impactframe.operators import joins
+
+    monkeypatch.setattr(joins, "RULES", 3)
+    rules = spark.createDataFrame([(i, "rule", f"^a.*{i}$") for i in range(20)], "rule_index int, source string, regex string")
+    paths = spark.createDataFrame([(f"a{i}",) for i in range(30)], "path string")
+    got = sorted((r["path"], r["rule_index"]) for r in joins.rule_matches(paths, "path", rules, "regex").collect())
+    assert got == sorted((f"a{i}", k) for i in range(30) for k in range(20) if f"a{i}".endswith(str(k)))
+
+
+def test_spans_equal_brute_force(spark):
+    import random
+
+    from impactframe.operators import joins
+
+    rng = random.Random(2)
+    span = lambda n: [(i, i % 3, s, s + rng.choice([-1, 0, 0, 1, 5, 40, 900])) for i in range(n) for s in [rng.randint(-50, 1000)]]
+    a, b = span(80), [*span(80), (900, 1, None, 5)]
+    points = spark.createDataFrame(a, "p int, k int, a int, b int")
+    spans = spark.createDataFrame(b, "q int, k int, s int, e int")
+    pairs = lambda f, test: sorted((r["p"], r["q"]) for r in f(points, spans, ["k"], "a", "b", "s", "e").collect()) == sorted(
+        (p, q) for p, k, x, y in a for q, k2, s, e in b if k == k2 and s is not None and s <= e and x <= y and test(x, y, s, e)
+    )
+    assert pairs(joins.overlapping_spans, lambda x, y, s, e: s <= y and e >= x)
+    points = points.where("a <= b")
+    assert pairs(joins.containing_spans, lambda x, y, s, e: s <= x and e >= y)
+
+
+def program(tmp_path, name, body):
+    path = tmp_path / name
+    path.write_text("#!/bin/sh\n" + body)
+    path.chmod(0o755)
+    return str(path)
+
+
+def test_provider_and_lister_programs(tmp_path):
+    answer = '{"affected_crates": [{"name": "a", "workspace": "w", "is_directly_affected": true}], "affected_workspaces": [{"name": "w", "path": "x"}], "workspaces": [{"name": "v", "path": ""}]}'
+    told = program(tmp_path, "told", f"echo 'log $@'; cat <<'E'\n{answer}\nE\n")
+    assert listings.provided(str(tmp_path), told, ["a.rs"]) == {"packages": [("w", "a", True)], "workspaces": [("w", "x")]}
+    assert listings.every_workspace(str(tmp_path), told) == [("v", "")]
+    with pytest.raises(ValueError):
+        listings.provided(str(tmp_path), program(tmp_path, "mute", "echo nothing"), [])
+    suite = '{"rust-suites": {"s": {"testcases": {"t2": {"filter-match": {"status": "matches"}}, "t1": {"filter-match": {"status": "matches"}}, "no": {"filter-match": {"status": "mismatch"}}}}, "u": {}}}'
+    (tmp_path / "w").mkdir()
+    assert listings.list_tests(str(tmp_path), "w", ["-p", "a"], program(tmp_path, "lister", f"cat <<'E'\n{suite}\nE\n")) == ["t1", "t2"]
+    assert listings.list_tests(str(tmp_path), "w", [], program(tmp_path, "fails", "exit 3")) is None
+    assert listings.list_tests(str(tmp_path), "w", [], str(tmp_path / "missing")) is None
