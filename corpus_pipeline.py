@@ -1,7 +1,10 @@
 """Corpus preparation in five stages, each written as Parquet and read again by the next.
 
 Every stage but the last returns the columns of ``documents`` (doc_id, text, lang, source,
-n_chars); the last returns the packed pieces.
+n_chars), whatever others there are beside them; the last returns the packed pieces. Only
+doc_id, text and source are read. In every stage an empty table gives no rows, whole texts
+are read whatever their length, and columns that clash with names made inside are kept
+apart. What a null, an empty text, a tie or a repeated row means is said at each stage.
 """
 
 from __future__ import annotations
@@ -20,29 +23,46 @@ def _with_text(df: DataFrame, columns: list[str], text: str) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Reject failing documents; take boilerplate lines out of the others."""
+    """Reject failing documents; take boilerplate lines out of the others.
+
+    Null and empty texts have fewer than the least words and go; a null source is a host of
+    its own; repeated rows are judged alike, and count once for the frequency of lines."""
     return _with_text(quality.score_documents(docs).where("kept"), docs.columns, "clean_text")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Delete later copies of line runs, and documents that were nothing else."""
+    """Delete later copies of line runs, and documents that were nothing else.
+
+    Of equal texts the one of least doc_id is first (null comes last); rows that repeat doc_id
+    and text are one document and cleaned alike; null and empty texts lose nothing and stay."""
     cleaned = linedup.deduplicate_lines(docs, edges=True)
     left = cleaned.where((F.col("n_removed") == 0) | (F.col("clean_text") != ""))
     return _with_text(left, docs.columns, "clean_text")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five words, similarity 0.8."""
+    """One document of each group of near-duplicates: five words, similarity 0.8.
+
+    The least doc_id of a group stays; rows that repeat a doc_id become one, that of the least
+    text hash; rows without doc_id are documents by their text; null and empty texts are like
+    nothing and stay."""
     return minhash.keep_one(docs, k=5, percent=80)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the fitted rates say."""
+    """Each document as often as the fitted rates say.
+
+    Null and empty texts have no tokens and the prior as posterior; equal doc_ids draw alike;
+    null and repeated ids in ``labels`` are allowed (the worst label counts), and without any
+    label the posterior is even."""
     return mixing.mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces in sequences of at most 2048 tokens."""
+    """Pieces in sequences of at most 2048 tokens.
+
+    Null and empty texts are their end token alone; a null doc_id stays null; repeated rows are
+    packed as often as they come."""
     return packing.pack(docs)
 
 
