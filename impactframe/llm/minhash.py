@@ -8,14 +8,13 @@ How work stays bounded:
 
 * Documents with equal sets form a class; only one of each class goes on.
 * First every key has ``LEADERS`` leaders: the class that shares most keys with others, and
-  the least ones by hashes. A class is compared with the leaders that it shares a key of either collection with, that is a table
-  key, ``OFFERS`` of them at most, and components are merged. What lies in one component
+  the least ones by hashes of class and key. A class is compared with the leaders of its
+  keys, ``OFFERS`` of them at most, and components are merged. What lies in one component
   needs no further comparison.
-* Then keys whose classes are all in one component are dropped, and table keys are formed of
-  the others. Documents of table keys with several components are joined exactly: a pair at
-  the threshold has a common shingle among the rarest of either set, at places that its sizes
+* Then keys whose classes are all in one component are dropped. Documents that share a table
+  key of the others, across components, are joined exactly: a pair at the threshold has a common shingle among the rarest of either set, at places that its sizes
   allow (prefixes in an order by counts). They are joined by such shingles and by classes of
-  sizes, and the largest component of a shingle only with the others, so no bucket is
+  sizes, and the least component of a shingle only with the others, so no bucket is
   expanded into pairs, and no link is lost.
 * Before sets are compared, bitmaps of them give an upper bound of the intersection; a pair
   that the bound rules out is no link. One side's sets are moved to the other side's key.
@@ -44,7 +43,7 @@ ROWS = 3
 MISS = 1e-5
 #: Leaders of a key, leaders a document is compared with, and 64-bit words of a bitmap.
 LEADERS = 4
-OFFERS = 8
+OFFERS = 16
 BITMAP = 16
 #: Ratio of one class of set sizes to the next.
 SIZE_STEP = 1.2
@@ -228,47 +227,40 @@ def _allowed(pairs: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
 def _leaders(met: DataFrame, popular: DataFrame) -> DataFrame:
     """(key, leaders) of ``met(node, key)``: the class that shares most keys with others, as
     the original of many edited copies does, and the least ones by hashes."""
-    drawn = [F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("r"), "node")).alias(f"r{i}") for i in range(1, LEADERS)]
+    drawn = [F.min(F.struct(F.xxhash64("node", "key", F.lit(i)).alias("r"), "node")).alias(f"r{i}") for i in range(1, LEADERS)]
     first = F.max(F.struct("popular", F.xxhash64("node").alias("r"), "node")).alias("r0")
     named = F.array_distinct(F.array(*[F.col(f"r{i}.node") for i in range(LEADERS)]))
-    return met.join(popular.select("node", "popular"), "node").groupBy("key").agg(first, *drawn).select("key", named.alias("leaders"))
+    known = met.select("node", "key").join(popular.select("node", "popular"), "node")
+    return known.groupBy("key").agg(first, *drawn).select("key", named.alias("leaders"))
 
 
 def _asked(met: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
-    """Pairs (p, q) of a node and a leader that share a key of either collection; of each
-    node at most ``OFFERS`` that bitmaps allow. The likeliest leaders, those of most keys, go
-    first; what is left out is met in ``_across``."""
+    """Pairs (p, q) of a node and a leader that share a key; of each node at most ``OFFERS``
+    that bitmaps allow. The likeliest leaders, those of most keys, go first, and one chance is
+    as good as another among equals; what is left out is met in ``_across``."""
     offers = (
-        met.select(F.col("node").alias("q"), "first", F.explode("leaders").alias("p"))
+        met.select(F.col("node").alias("q"), F.explode("leaders").alias("p"))
         .where("p <> q")
         .groupBy("q", "p")
-        .agg(F.count("*").alias("shared"), F.count_if("first").alias("ones"))
-        .where("ones > 0 and ones < shared")
+        .agg(F.count("*").alias("shared"))
+        .withColumn("r", F.xxhash64("q", "p"))
     )
-    first = F.sort_array(F.collect_list(F.struct("shared", "p")), asc=False)
+    first = F.sort_array(F.collect_list(F.struct("shared", "r", "p")), asc=False)
     offers = offers.groupBy("q").agg(F.slice(first, 1, 2 * OFFERS).alias("first")).select("q", F.inline("first"))
     allowed = _allowed(offers, bitmaps, percent)
     return allowed.groupBy("q").agg(F.slice(first, 1, OFFERS).alias("best")).select(F.explode("best.p").alias("p"), "q")
 
 
 def _tensored(labelled: DataFrame) -> DataFrame:
-    """(node, component, a, b): nodes that share a table key with another component, and
-    their keys of either collection that do."""
-    split = lambda df, key: durable(
-        df.groupBy(key).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select(key)
-    )
-    mixed = labelled.join(split(labelled, "key"), "key", "left_semi")
-    sides = mixed.groupBy("node", "component").agg(
+    """(node, component, a, b): nodes with keys of both collections that other components have
+    too, and those keys. Two nodes share a table key, a pair of ``a`` and ``b``, if they share
+    a key of either; so table keys are compared as such pairs, and never listed."""
+    mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    sides = labelled.join(durable(mixed), "key", "left_semi").groupBy("node", "component").agg(
         F.collect_set(F.when(F.col("first"), F.col("key"))).alias("a"),
         F.collect_set(F.when(~F.col("first"), F.col("key"))).alias("b"),
     )
-    sides = durable(sides.where((F.size("a") > 0) & (F.size("b") > 0)))
-    paired = sides.select("node", "component", F.explode("a").alias("x"), "b").select(
-        "node", "component", "x", F.explode("b").alias("y")
-    )
-    paired = paired.select("node", "component", F.xxhash64("x", "y").alias("bucket"))
-    met = paired.join(split(paired, "bucket"), "bucket", "left_semi").select("node").distinct()
-    return sides.join(met, "node", "left_semi")
+    return sides.where((F.size("a") > 0) & (F.size("b") > 0))
 
 
 def _across(sides: DataFrame, sets: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
@@ -282,14 +274,12 @@ def _across(sides: DataFrame, sets: DataFrame, bitmaps: DataFrame, percent: int)
     listed = own.select("node", "component", "shingles")
     schema = "token long, sizes int, held boolean, node long, component long, n int, place int"
     tokens = durable(map_batches(listed, lambda it: _prefixes(it, counts, percent), schema))
-    # what the largest component of a token has is not paired with itself
-    size = sides.groupBy("component").agg(F.count("*").alias("size"))
-    sized = tokens.join(broadcast_if_small(durable(size)), "component")
-    met = sized.groupBy("token", "sizes").agg(
-        F.max(F.struct("size", "component")).alias("top"), F.min("component").alias("lo"), F.max("component").alias("hi"),
-        F.bool_or("held").alias("held"), F.bool_and("held").alias("only"),
+    # what the least component of a token has is not paired with itself: the components that
+    # grew have the least ids
+    met = tokens.groupBy("token", "sizes").agg(
+        F.min("component").alias("top"), F.max("component").alias("hi"), F.bool_or("held").alias("held"), F.bool_and("held").alias("only")
     )
-    met = durable(met.where("lo < hi and held and not only").select("token", "sizes", F.col("top.component").alias("top")))
+    met = durable(met.where("top < hi and held and not only").select("token", "sizes", "top"))
     live = durable(tokens.join(met, ["token", "sizes"]).withColumn("main", F.col("component") == F.col("top")).drop("top"))
     side = lambda held, names: live.where(held).select("token", "sizes", *[F.col(c).alias(c + names) for c in ("node", "component", "n", "place", "main")])
     fewer, more = side("held", "1"), side("not held", "2")
