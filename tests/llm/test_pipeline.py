@@ -35,3 +35,25 @@ def test_stages(spark, documents, tmp_path):
     ids = packing.tokenizer(packing.default_tokenizer())
     total = sum(len(ids.encode(t)) // 4 + 1 for t in seen[3].values())
     assert sum(r["length"] for r in docs.collect()) >= total
+
+
+def test_edges_of_every_stage(spark, documents, tmp_path):
+    """Empty tables, nulls in every column, clashing columns, repeated rows and a long text."""
+    from pyspark.sql import functions as F
+
+    words = lambda k, n: " ".join(f"{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyz'[i // 100 % 6]}{k}" for i in range(n))
+    names = ["clean_text", "runs", "t1", "node", "rate", "posterior", "_d0", "kept", "doc", "lines"]
+    rows = [(1, words("p", 90), "en", "s0"), (1, words("p", 90), "en", "s0"), (None, words("q", 90), None, None), (2, None, None, None), (3, "", "en", None)]
+    rows += [(4, "\n".join(words(k, 60) for k in "ABCDEFGH") + "\n" + words("r", 600), "en", "s0")]
+    spark.createDataFrame([(None, 1, 0), (1, None, None), (1, 1, 0), (4, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = documents(rows, names)
+    empty = docs.limit(0)
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        docs, empty = durable(stage(spark, docs, str(tmp_path))), durable(stage(spark, empty, str(tmp_path)))
+        assert empty.count() == 0
+        if k < 4:
+            assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", *names]
+            assert docs.where(F.col("runs") != "clash").count() == 0
+        if k == 2:
+            assert sorted(str(r["doc_id"]) for r in docs.collect()) == ["1", "4", "None"]
+    assert {r["doc_id"] for r in docs.collect()} == {1, 4, None}
