@@ -32,7 +32,7 @@ PROTECTED = ("good",)
 BUCKETS = 4096
 TRAIN_ROWS = 20_000
 SMOOTHING = 1.0
-STEPS = 200
+STEPS = 60
 TOLERANCE = 1e-9
 #: Share of the tokens by which a domain may miss its aim without a warning.
 MISSED = 1e-3
@@ -177,11 +177,11 @@ def fit(narrow: DataFrame, targets: dict[str, float], steps_at_most: int = STEPS
     All rates start at 1. A step adds to each rate the posterior's product with a vector and
     projects it onto nonnegative numbers. With the distance to the aims as vector, divided by
     a bound of the Gram matrix's largest eigenvalue, this is the projected gradient of half the
-    squared distance in the metric of tokens, and the distance always falls. Before it, the
-    same step in the metric of the Gram matrix of documents in use is tried, which is far
-    longer, and taken if the squared distance falls by a tenth at least. The fit ends when
-    the aims are met, when no step helps any more (targets out of reach: this is the least
-    distance), or after ``steps_at_most``; a residual above ``MISSED`` is warned of."""
+    squared distance in the metric of tokens, and the distance always falls. Longer steps are
+    tried before it: the same one in the metric of the Gram matrix of documents in use, taken
+    if the squared distance falls by a tenth at least, and a multiple of it that grows while
+    it helps. The fit ends when the aims are met, when a step helps no more (targets out of
+    reach), or after ``steps_at_most``; a residual above ``MISSED`` is warned of."""
     k = len(DOMAINS)
     p = [F.get(F.col("posterior"), j) for j in range(k)]
     n = F.col("n_tokens")
@@ -200,11 +200,16 @@ def fit(narrow: DataFrame, targets: dict[str, float], steps_at_most: int = STEPS
     distance = lambda x: [a - b for a, b in zip(wanted, x, strict=True)]
     square = lambda x: sum(d * d for d in distance(x))
     steps: list[list[float]] = []
+    longer = 1.0
     while len(steps) < steps_at_most and max(map(abs, distance(now))) > TOLERANCE * scale:
         plain = [d / bound for d in distance(now)] if bound else [0.0] * k
-        for step, least in ((_solve(active, distance(now)), 0.9), (plain, 1 - 1e-9)):
+        tried = [(_solve(active, distance(now)), 0.9, longer), ([longer * x for x in plain], 0.999, 4 * longer)]
+        if longer > 1:
+            tried.append((plain, 1 - 1e-5, 1.0))
+        for step, least, after in tried:
             there, used = measured(_rate(F.col("posterior"), [*steps, step]))
             if square(there) < least * square(now):
+                longer = after
                 break
         else:
             break
