@@ -1,6 +1,7 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
-Each step is a partial aggregation (least neighbour of a node) and a join back; every
+Up to ``DRIVER_EDGES`` edges, once counted, are merged on the driver instead, where each takes
+16 bytes: a step over a small table costs its tasks alone. Beyond that each step is a partial aggregation (least neighbour of a node) and a join back; every
 round is written to the shared folder, so lineage stays short. Least neighbours are written
 before the join back, so that both its sides are plain shuffles: adaptive execution then
 splits the rows of a star's centre, however large, over several tasks.
@@ -8,12 +9,33 @@ splits the rows of a star's centre, however large, over several tasks.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import durable, release
 
 MAX_ROUNDS = 60
+#: Edges that may be merged on the driver.
+DRIVER_EDGES = 1_000_000
+
+
+def _merged(u: np.ndarray, v: np.ndarray) -> pa.Table:
+    """(node, component) of the edges (u, v): roots are hooked to their least neighbour's
+    root until no edge has two."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(nodes))
+    while len(a):
+        x, y = root[a], root[b]
+        apart = x != y
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, x, y)
+        np.minimum.at(root, y, x)
+        while not np.array_equal(further := root[root], root):
+            root = further
+    return pa.table({"node": nodes, "component": nodes[root]})
 
 
 def _star(edges: DataFrame, large: bool) -> tuple[DataFrame, DataFrame]:
@@ -41,10 +63,13 @@ def connected_components(edges: DataFrame, steps: int | None = None) -> DataFram
 
     Self-loops and edges with a null end are ignored; repeated edges count once. With
     ``steps`` the work ends after so many: nodes of one label are connected, but connected
-    nodes may have several labels."""
-    current = durable(
-        edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    )
+    nodes may have several labels (on the driver they are merged to the end)."""
+    edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    if edges.limit(DRIVER_EDGES + 1).count() <= DRIVER_EDGES:
+        known = edges.toArrow()
+        ends = [known[c].to_numpy().astype(np.int64) for c in ("u", "v")]
+        return edges.sparkSession.createDataFrame(_merged(*ends), "node long, component long")
+    current = durable(edges.distinct())
     mark = None
     for done in range(MAX_ROUNDS):
         larger, least = _star(current, True)

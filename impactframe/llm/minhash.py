@@ -45,6 +45,8 @@ MISS = 1e-5
 LEADERS = 4
 OFFERS = 16
 BITMAP = 16
+#: Bitmaps that may be broadcast, after they have been counted: 136 bytes each.
+BROADCAST_BITMAPS = 50_000
 #: Ratio of one class of set sizes to the next.
 SIZE_STEP = 1.2
 #: Cells in which shingles are counted to order them, at most so many numbers on the driver.
@@ -52,6 +54,7 @@ CELLS = 1 << 18
 #: Steps of merging components after the first comparison.
 EARLY_STEPS = 2
 _SIGNED = pa.int64()
+_DIGEST = ["n_shingles", "s1", "s2"]
 
 
 def _functions(rows: int, tables: int) -> tuple[np.ndarray, np.ndarray]:
@@ -190,11 +193,10 @@ def signatures(docs: DataFrame, k: int, tables: int, rows: int = ROWS) -> DataFr
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (p, q) whose sets meet the threshold, as links (u, v), by full intersection. The
-    set of q goes to p; of the sets of p only one copy is moved."""
-    asked = sets.join(broadcast_if_small(pairs.groupBy("q").agg(F.collect_list("p").alias("ps"))), sets["node"] == F.col("q"))
-    sent = asked.select(F.explode("ps").alias("p"), "q", F.col("shingles").alias("b"))
-    asking = sets.join(broadcast_if_small(pairs.select("p").distinct()), sets["node"] == F.col("p"), "left_semi")
+    """Pairs (p, q), written and distinct, whose sets meet the threshold, as links (u, v), by full
+    intersection. The set of q goes to p; of the sets of p only one copy is moved."""
+    sent = sets.join(broadcast_if_small(pairs), sets["node"] == F.col("q")).select("p", "q", F.col("shingles").alias("b"))
+    asking = sets.join(broadcast_if_small(pairs.select("p")), sets["node"] == F.col("p"), "left_semi")
     both = sent.join(asking.select(F.col("node").alias("p"), F.col("shingles").alias("a")), "p")
     common = F.size(F.array_intersect("a", "b"))
     return (
@@ -217,9 +219,11 @@ def _possible(n: Column, bits: Column, m: Column, bits2: Column, percent: int) -
 
 
 def _allowed(pairs: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
-    """``pairs(p, q, ...)`` whose bitmaps do not rule a link out."""
+    """``pairs(p, q, ...)`` whose bitmaps (of a written table) do not rule a link out."""
     left = bitmaps.select(F.col("node").alias("p"), F.col("n").alias("n1"), F.col("bits").alias("b1"))
     right = bitmaps.select(F.col("node").alias("q"), F.col("n").alias("n2"), F.col("bits").alias("b2"))
+    if bitmaps.limit(BROADCAST_BITMAPS + 1).count() <= BROADCAST_BITMAPS:
+        left, right = F.broadcast(left), F.broadcast(right)
     met = pairs.join(right, "q").join(left, "p")
     return met.where(_possible(F.col("n1"), F.col("b1"), F.col("n2"), F.col("b2"), percent)).select(*pairs.columns)
 
@@ -256,7 +260,7 @@ def _tensored(labelled: DataFrame) -> DataFrame:
     too, and those keys. Two nodes share a table key, a pair of ``a`` and ``b``, if they share
     a key of either; so table keys are compared as such pairs, and never listed."""
     mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    sides = labelled.join(durable(mixed), "key", "left_semi").groupBy("node", "component").agg(
+    sides = labelled.join(broadcast_if_small(durable(mixed)), "key", "left_semi").groupBy("node", "component").agg(
         F.collect_set(F.when(F.col("first"), F.col("key"))).alias("a"),
         F.collect_set(F.when(~F.col("first"), F.col("key"))).alias("b"),
     )
@@ -280,7 +284,7 @@ def _across(sides: DataFrame, sets: DataFrame, bitmaps: DataFrame, percent: int)
         F.min("component").alias("top"), F.max("component").alias("hi"), F.bool_or("held").alias("held"), F.bool_and("held").alias("only")
     )
     met = durable(met.where("top < hi and held and not only").select("token", "sizes", "top"))
-    live = durable(tokens.join(met, ["token", "sizes"]).withColumn("main", F.col("component") == F.col("top")).drop("top"))
+    live = durable(tokens.join(broadcast_if_small(met), ["token", "sizes"]).withColumn("main", F.col("component") == F.col("top")).drop("top"))
     side = lambda held, names: live.where(held).select("token", "sizes", *[F.col(c).alias(c + names) for c in ("node", "component", "n", "place", "main")])
     fewer, more = side("held", "1"), side("not held", "2")
     shares = F.least(F.col("n1") - F.col("place1"), F.col("n2") - F.col("place2"))
@@ -311,10 +315,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
     signed = durable(signatures(docs, k, tables, rows))
     usable = signed.where("n_shingles > 0 and doc_id is not null")
     classes = durable(
-        usable.groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("node"), F.min_by("keys", "doc_id").alias("keys"))
+        usable.groupBy(*_DIGEST).agg(F.min("doc_id").alias("node"), F.min_by("keys", "doc_id").alias("keys"))
     )
-    member = usable.select("doc_id", "n_shingles", "s1", "s2").join(classes.drop("keys"), ["n_shingles", "s1", "s2"])
-    links = durable(member.where("doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v")).distinct())
+    # rows of one doc_id that differ are linked by it; a doc_id is in one class otherwise
+    digest = F.struct(*_DIGEST)
+    ids = signed.where("doc_id is not null").groupBy("doc_id").agg(F.min(digest).alias("lo"), F.max(digest).alias("hi"))
+    again = durable(ids.where("lo <> hi").select("doc_id"))
+    repeated = not again.isEmpty()
 
     keyed = classes.select("node", F.posexplode("keys").alias("at", "key")).select("node", "key", (F.col("at") < tables).alias("first"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi"))
@@ -327,13 +334,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
     own = narrow.join(broadcast_if_small(likely.withColumnRenamed("node", "doc_id")), "doc_id", "left_semi")
     sets = durable(map_batches(own, lambda it: _sets(it, k), "node long, shingles array<long>, bits array<long>"))
     bitmaps = sets.select("node", F.size("shingles").alias("n"), "bits")
-    release(classes)
 
     pairs = durable(_asked(met.join(leaders, "key"), bitmaps, percent))
-    links = durable(links.unionByName(_confirmed(pairs, sets, percent)))
+    links = _confirmed(pairs, sets, percent)
+    if repeated:
+        several = usable.join(broadcast_if_small(again), "doc_id", "left_semi").select("doc_id", *_DIGEST)
+        named = several.join(classes.select("node", *_DIGEST), _DIGEST)
+        links = links.unionByName(named.select(F.col("doc_id").alias("u"), F.col("node").alias("v")))
+    links = durable(links)
     early = durable(connected_components(links, EARLY_STEPS))
-    labelled = met.join(early, "node", "left").select("node", "key", "first", F.coalesce("component", "node").alias("component"))
-    labelled = durable(labelled.join(likely, "node", "left_semi"))
+    labelled = met.join(broadcast_if_small(early), "node", "left").select("node", "key", "first", F.coalesce("component", "node").alias("component"))
+    labelled = durable(labelled.join(broadcast_if_small(likely), "node", "left_semi"))
     release(met)
     sides = durable(_tensored(labelled))
     if not sides.isEmpty():
@@ -341,7 +352,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
         links = durable(links.unionByName(_confirmed(pairs, sets, percent)))
     release(sets)
     labels = durable(connected_components(links))
-    answer = signed.select("doc_id", "n_shingles").join(labels, F.col("doc_id") == F.col("node"), "left")
+    # a class has its node's component, and its copies have the class's
+    component = F.coalesce("component", "node").alias("component")
+    named = classes.select("node", *_DIGEST).join(broadcast_if_small(labels), "node", "left").select(*_DIGEST, component)
+    usable_digest = [F.when(F.col("n_shingles") > 0, F.col(c)).alias(c) for c in _DIGEST[1:]]
+    answer = signed.select("doc_id", "n_shingles", *usable_digest).join(durable(named), _DIGEST, "left").select(
+        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component")
+    )
+    if repeated:
+        own = answer.join(broadcast_if_small(again), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component").alias("shared"))
+        answer = answer.join(broadcast_if_small(durable(own)), "doc_id", "left").withColumn("component", F.coalesce("shared", "component"))
     component = F.coalesce("component", "doc_id")
     return answer.select(
         "doc_id",

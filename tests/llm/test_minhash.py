@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from impactframe.llm import minhash
+from impactframe.llm import components, minhash
 from impactframe.llm.components import connected_components
 
 
@@ -120,3 +120,40 @@ def test_template_pages_and_long_texts(documents):
     assert len(set(least.values())) > 60
     for r in minhash.near_duplicates(documents(rows), 3, 85).collect():
         assert (r["component_id"], r["n_shingles"]) == (least[r["doc_id"]], size[r["doc_id"]])
+
+
+def jobs_of(spark, run):
+    context = spark.sparkContext
+    group = f"counted-{random.random()}"
+    context.setJobGroup(group, group)
+    try:
+        run()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    return len(context.statusTracker().getJobIdsForGroup(group))
+
+
+def test_small_tables_take_few_jobs(spark, documents):
+    """Each job over a small table costs as much as its tasks, however few its rows are."""
+    docs = documents(texts(3))
+    assert jobs_of(spark, lambda: minhash.near_duplicates(docs, 3, 85).collect()) <= 110
+
+
+@pytest.mark.parametrize("at_most", [0, 1_000_000])
+def test_components_on_the_driver_and_by_steps_are_equal(spark, documents, monkeypatch, at_most):
+    monkeypatch.setattr(components, "DRIVER_EDGES", at_most)
+    edges = [(1, 2), (2, 1), (3, 3), (None, 5), (5, None), *[(i + 1, i) for i in range(10, 40)], *[(90, i) for i in range(50, 90)]]
+    got = {(r["node"], r["component"]) for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    wanted = {(1, 1), (2, 1), *[(i, 10) for i in range(10, 41)], *[(i, 50) for i in range(50, 91)]}
+    assert got == wanted
+    assert connected_components(spark.createDataFrame([(4, 4)], "u long, v long")).collect() == []
+
+
+def test_rows_of_one_doc_id_are_linked_whatever_they_hold(documents):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(8, a), (8, None), (8, b), (5, b), (6, c), (6, ""), (9, a + " end"), (7, None), (None, a)]
+    out = minhash.near_duplicates(documents(rows), 3, 85).collect()
+    got = sorted((str(r["doc_id"]), r["component_id"], r["kept"], r["n_shingles"]) for r in out)
+    linked = [("8", 5, False, n) for n in (0, 28, 28)] + [("5", 5, True, 28), ("6", 6, True, 28), ("6", 6, True, 0), ("9", 5, False, 29)]
+    assert [x for x in got if x[0] != "None"] == sorted([*linked, ("7", 7, True, 0)])
+    assert [(r["component_id"], r["kept"]) for r in out if r["doc_id"] is None] == [(None, True)]
