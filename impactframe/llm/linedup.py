@@ -188,9 +188,8 @@ def common_prefixes(entries: DataFrame, levels: list[tuple[int, DataFrame]]) ->
         equal = [(F.get("x", F.lit(i)) == F.get("y", F.lit(i))) & (F.get("x", F.lit(i)) >= 0) for i in range(3)]
         parts = F.when(equal[0] & equal[1] & equal[2], 3).when(equal[0] & equal[1], 2).when(equal[0], 1).otherwise(0)
         further = F.when(F.col("lcp") < F.col("rem"), F.least(F.col("lcp") + parts * depth, "rem"))
-        met = met.withColumn("lcp", F.coalesce(further, "lcp")).drop("x", "y", "at", "at2")
-        if not small:
-            met = durable(met)
+        # written each time, so that the driver holds two broadcast levels at once and not all
+        met = durable(met.withColumn("lcp", F.coalesce(further, "lcp")).drop("x", "y", "at", "at2"))
     return met.drop("doc2", "line2")
 
 

@@ -137,3 +137,20 @@ def test_runs_of_any_depth_and_long_texts(spark, documents):
 def test_equal_lines_overlap_their_own_copy(documents):
     out = linedup.deduplicate_lines(documents([(1, "\n".join(["w"] * 51)), (2, "\n".join(["v"] * 50))])).collect()
     assert sorted((r["doc_id"], r["n_removed"]) for r in out) == [(1, 50), (2, 0)]
+
+
+def test_common_prefixes_hold_no_broadcast_of_every_level(spark):
+    """Small levels are broadcast; one plan with those of all levels filled the driver's heap."""
+    words = ["abcabcabcabx", "bcabcabcabcaz", "abcabcy"]
+    rows = [(doc, 0, i, len(w) - i, ord(c)) for doc, w in enumerate(words) for i, c in enumerate(w)]
+    lines = spark.createDataFrame(rows, "doc long, island long, line int, rem int, rank long")
+    levels, _ = linedup.suffix_ranks(lines, 13)
+    assert len(levels) == 2
+    order = sorted((words[doc][line:], doc, line, rem) for doc, _, line, rem, _ in rows)
+    kept = [x for i, x in enumerate(order) if i == 0 or x[0] != order[i - 1][0]]
+    entries = spark.createDataFrame([(f, doc, line, rem) for f, (_, doc, line, rem) in enumerate(kept)], "f long, doc long, line int, rem int")
+    found = linedup.common_prefixes(entries, levels)
+    assert str(found._jdf.queryExecution().optimizedPlan()).count("Join") == 0
+    shared = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    wanted = {f: shared(kept[f - 1][0], kept[f][0]) if f else 0 for f in range(len(kept))}
+    assert {r["f"]: r["lcp"] for r in found.collect()} == wanted
