@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from impactframe.llm import linedup, minhash, mixing, packing, quality
-from impactframe.llm.storage import durable
+from impactframe.llm.storage import release, settled
 
 
 def _with_text(df: DataFrame, columns: list[str], text: str) -> DataFrame:
@@ -79,7 +79,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        docs = out if k == len(STAGES) - 1 else durable(out)
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        before = docs
+        docs = settled(lambda: stage(spark, before, sf_dir))
+        if k:
+            release(before)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import broadcast_if_small, durable, map_batches, partitions, release
+from .storage import broadcast_if_small, durable, map_batches, partitions, settled
 
 MIN_WORDS = 50
 #: Numbers in a table of runs that may be broadcast, after they have been counted.
@@ -453,7 +453,7 @@ def deduplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS, edges: bool =
     different ids are copies, of which the first stays; a run that overlaps its own earlier
     copy is deleted too; an empty table gives no rows."""
     own = docs.drop("clean_text", "n_removed", "n_runs")
-    runs = durable(repeated_runs(own, min_words, edges))
+    runs = settled(lambda: repeated_runs(own, min_words, edges))
     text = F.coalesce(own["text"], F.lit(""))
     wide = own.select(
         *[own[c].alias(f"_d{i}") for i, c in enumerate(own.columns)],

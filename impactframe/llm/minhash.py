@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from . import textnum
 from .components import connected_components
 from .linedup import dense_rank
-from .storage import broadcast_if_small, durable, map_batches, release
+from .storage import broadcast_if_small, durable, map_batches, release, settled
 
 ROWS = 3
 MISS = 1e-5
@@ -387,13 +387,14 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     nameless = F.col("doc_id").isNull() & F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     greatest, n = keyed.agg(F.max("doc_id"), F.count(F.when(F.col("doc_id").isNull(), 1))).first()
     if n:
-        unnamed = dense_rank(durable(keyed.where(nameless).select("t1", "t2").distinct()), "t1", "t2")
-        unnamed = durable(unnamed.select("t1", "t2", (F.col("rank") + F.lit((-1 if greatest is None else greatest) + 1)).alias("_node")))
+        node = (F.col("rank") + F.lit((-1 if greatest is None else greatest) + 1)).alias("_node")
+        texts = keyed.where(nameless).select("t1", "t2").distinct()
+        unnamed = settled(lambda: dense_rank(durable(texts), "t1", "t2").select("t1", "t2", node))
         # null hashes on rows that have a doc_id or no word, so that these match nothing
         asked = keyed.withColumns({c: F.when(nameless, F.col(c)) for c in ("t1", "t2")})
         met = asked.join(broadcast_if_small(unnamed), ["t1", "t2"], "left")
         keyed = met.select(*columns, F.coalesce("doc_id", "_node").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("t1"), F.xxhash64(F.lit("#"), F.coalesce("text", F.lit(""))).alias("t2"))
-    dropped = durable(near_duplicates(keyed.select("doc_id", "text"), k, percent).where(~F.col("kept")).select("doc_id"))
+    dropped = settled(lambda: near_duplicates(keyed.select("doc_id", "text"), k, percent).where(~F.col("kept")).select("doc_id"))
     left = keyed.join(dropped, "doc_id", "left_anti")
     counted = keyed.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"))
     again = durable(counted.where("n > 1").select("doc_id"))

@@ -12,6 +12,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +23,8 @@ BROADCAST_ROWS = 500_000
 
 _written: dict[str, list[str]] = {}
 _local: dict[str, str] = {}
+#: Paths written since the innermost ``settled`` of this thread began.
+_scope: ContextVar[list[str] | None] = ContextVar("scope", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,22 +45,45 @@ def durable(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/impactframe-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    if (scope := _scope.get()) is not None:
+        scope.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(df: DataFrame) -> None:
-    """Delete the files of a ``durable`` table that no later plan reads."""
-    spark = df.sparkSession
+def settled(make: Callable[[], DataFrame]) -> DataFrame:
+    """The DataFrame that ``make`` returns, as ``durable`` has it. The tables that ``make`` wrote
+    on the way to it are deleted, so no other DataFrame may read them."""
+    outer, own = _scope.get(), []
+    token = _scope.set(own)
+    try:
+        out = durable(make())
+    finally:
+        _scope.reset(token)
+    *before, last = own
+    _delete(out.sparkSession, before)
+    if outer is not None:
+        outer.append(last)
+    return out
+
+
+def _delete(spark: SparkSession, paths: Iterable[str]) -> None:
     own = _written.get(spark.sparkContext.applicationId, [])
     jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for path in own[:]:
-        name = path.rsplit("/", 1)[1]
-        if any(f"/{name}/" in f for f in df.inputFiles()[:1]):
+    for path in paths:
+        if path in own:
             target = jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(conf).delete(target, True)
             own.remove(path)
 
 
+def release(df: DataFrame) -> None:
+    """Delete the files of a ``durable`` table that no later plan reads."""
+    spark = df.sparkSession
+    own = _written.get(spark.sparkContext.applicationId, [])
+    files = df.inputFiles()[:1]
+    _delete(spark, [path for path in own if any(f"/{path.rsplit('/', 1)[1]}/" in f for f in files)])
+
+
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast of a narrow, already written table only if it has at most
     ``rows`` rows; beyond that the join shuffles."""

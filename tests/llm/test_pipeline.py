@@ -1,10 +1,11 @@
 """The stages over a small table with known cases."""
 
+import os
 import random
 
 import corpus_pipeline
 from impactframe.llm import packing
-from impactframe.llm.storage import durable
+from impactframe.llm.storage import durable, settled, shared_dir
 
 
 def test_stages(spark, documents, tmp_path):
@@ -59,3 +60,42 @@ def test_edges_of_every_stage(spark, documents, tmp_path):
         if k == 3:
             mixed = {r["doc_id"] for r in docs.collect()}  # 4 is labelled toxic and may be thinned
     assert mixed >= {1, None} and {r["doc_id"] for r in docs.collect()} == mixed
+
+
+def _read(df):
+    """Names of the written tables that a plan reads."""
+    return {part for f in df.inputFiles() for part in f.split("/") if part.startswith("impactframe-")}
+
+
+def test_stages_leave_only_what_their_results_read(spark, documents):
+    rng = random.Random(6)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    passage = words(55)
+    texts = [f"{words(60)}\n{words(20)}" for _ in range(6)]
+    rows = [*enumerate(texts), (10, f"{words(30)}\n{passage}"), (11, f"{words(30)}\n{passage}"), (12, f"{texts[2]} more")]
+    rows += [(None, words(70)), (20, words(70)), (20, words(70))]
+    docs = durable(documents(rows))
+    for stage, lost in ((corpus_pipeline.line_dedup, set()), (corpus_pipeline.near_duplicates, {12})):
+        before = set(os.listdir(shared_dir(spark)))
+        out = stage(spark, docs, "")
+        left = set(os.listdir(shared_dir(spark))) - before
+        assert left and left <= _read(out)
+        assert {r["doc_id"] for r in out.collect()} == {d for d, _ in rows} - lost
+
+
+def test_settled_deletes_what_was_written_on_the_way(spark):
+    there = lambda df: _read(df) <= set(os.listdir(shared_dir(spark)))
+    first, way = durable(spark.range(5)), []
+
+    def inner():
+        way.append(durable(first.where("id > 0")))
+        return durable(way[-1].where("id > 1"))
+
+    def outer():
+        way.append(settled(inner))
+        assert not there(way[0]) and there(way[1])
+        return way[1].where("id > 2")
+
+    out = settled(outer)
+    assert there(first) and there(out) and not there(way[1])
+    assert sorted(r["id"] for r in out.collect()) == [3, 4] and first.count() == 5
