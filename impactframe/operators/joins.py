@@ -10,26 +10,51 @@ from ..session import durable
 
 #: Rules broadcast at once.
 RULES = 10_000
+#: Paths of a directory that a join by its name may gather.
+CROWD = 100_000
 
 
 def longest_prefix_join(df: DataFrame, path: str, roots: DataFrame, root: str, key: str) -> DataFrame:
     """``df`` with the columns of the deepest root that owns its path; null without one.
 
-    A path's ancestors are exploded and equi-joined to the roots, so this is a hash join
-    on as many rows as paths have components, not a product. Equal roots: the greatest key
-    wins. The best root is one partial aggregate for each distinct path."""
-    paths = df.select(F.col(path).alias("_path")).distinct()
-    up = paths.select("_path", F.explode(ancestors(F.col("_path"))).alias("_root"))
-    owned = roots.select(
-        F.when(F.col(root) == ".", "").otherwise(F.col(root)).alias("_root"),
-        F.struct(*[F.col(c) for c in roots.columns]).alias("_owner"),
-        F.col(key).alias("_key"),
+    Equal roots: the greatest key wins, and only that one is joined. Ancestors are exploded
+    for each distinct directory rather than for each path; a path then asks for itself and
+    for its directory. Directories of more than ``CROWD`` paths are broadcast, so that none
+    of them gathers its paths in one task: there is at most one for so many rows."""
+    owned = (
+        roots.select(
+            F.when(F.col(root) == ".", "").otherwise(F.col(root)).alias("_root"),
+            F.struct(*[F.col(c) for c in roots.columns]).alias("_owner"),
+            F.col(key).alias("_key"),
+        )
+        .where("_root is not null")
+        .groupBy("_root")
+        .agg(F.max_by("_owner", F.struct("_key")).alias("_owner"))
     )
-    best = up.join(owned, "_root").groupBy("_path").agg(
-        F.max_by("_owner", F.struct(F.length("_root").alias("l"), "_key")).alias("_owner")
+    above = _directory(F.col(path))
+    # a root of all paths is one row, and is no key of a join
+    inner, top = owned.where("_root <> ''"), owned.where("_root = ''").select(F.col("_owner").alias("_top"))
+    folders = df.where(F.col(path).isNotNull()).groupBy(above.alias("_dir")).agg(F.count("*").alias("_n"))
+    up = folders.select("_dir", F.explode(ancestors(F.col("_dir"))).alias("_root")).where("_root <> ''")
+    best = up.join(inner, "_root").groupBy("_dir").agg(F.max_by("_owner", F.length("_root")).alias("_near"))
+    found = durable(
+        folders.join(best, "_dir", "left").join(F.broadcast(top), how="left")
+        .select("_dir", "_n", F.coalesce("_near", "_top").alias("_near"))
     )
-    joined = df.join(best, F.col(path) == F.col("_path"), "left")
-    return joined.select(*[df[c] for c in df.columns], *[F.col(f"_owner.{c}").alias(c) for c in roots.columns])
+    crowded = found.where(F.col("_n") > CROWD).select("_dir", F.col("_near").alias("_far"), F.lit(True).alias("_crowd"))
+    others = found.where(F.col("_n") <= CROWD).select(F.col("_dir").alias("_ask"), "_near")
+    asked = df.withColumn("_dir", above).join(F.broadcast(crowded), "_dir", "left")
+    # what is answered asks for names that no directory has
+    none = F.concat(F.lit("\0"), F.pmod(F.xxhash64(path), F.lit(CROWD)).cast("string"))
+    asked = asked.withColumn("_ask", F.when(F.col("_crowd"), none).otherwise(F.col("_dir"))).join(others, "_ask", "left")
+    own = inner.select(F.col("_root").alias("_path"), F.col("_owner").alias("_own"))
+    joined = asked.join(own, F.col(path) == F.col("_path"), "left").withColumn("_owner", F.coalesce("_own", "_far", "_near"))
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], *[F.col(f"_owner.{c}").alias(c) for c in roots.columns])
+
+
+def _directory(path: Column) -> Column:
+    """What stands before the last slash; the empty text without one."""
+    return F.left(path, F.length(path) - F.length(F.substring_index(path, "/", -1)) - 1)
 
 
 def anti_prefix_join(df: DataFrame, path: str, roots: DataFrame, root: str) -> DataFrame:
