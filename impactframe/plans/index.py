@@ -10,7 +10,7 @@ from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import __version__, schemas
@@ -53,7 +53,7 @@ def file_rows(path: str, text: str) -> dict:
         items.append({
             "item_id": item_id, "file_id": file_id, "kind": i["kind"], "name": i["name"], "visibility": i["visibility"],
             "span": {"start_line": line, "start_column": column, "end_line": end_line, "end_column": end_column},
-            "parent_item_id": parent, "is_test": i["is_test"],
+            "parent_item_id": parent, "is_test": i["is_test"], "parent_name": i["parent"]["name"] if parent else None,
         })
         edges.append({"from": parent or file_id, "to": item_id, "kind": "Contains"})
     return {
@@ -65,19 +65,25 @@ def file_rows(path: str, text: str) -> dict:
 
 
 def parse_files(files: DataFrame) -> DataFrame:
-    """(path, error, body) of ``files(path, content)``; Python, one file at a time."""
+    """(path, error, body) of ``files(path, content)``; Python, one file at a time. Files are
+    dealt out first: a table of a few MB, one task otherwise, may hold very many."""
     environment = files.sparkSession.sparkContext.environment
     root = str(Path(__file__).resolve().parents[2])
     if root not in environment.get("PYTHONPATH", ""):
         environment["PYTHONPATH"] = ":".join(filter(None, [root, environment.get("PYTHONPATH", "")]))
-    return files.select("path", "content").mapInArrow(_parse_batches, _PARSED)
+    return files.select("path", "content").repartition("path").mapInArrow(_parse_batches, _PARSED)
+
+
+def rows_of(name: str, *more: str) -> Column:
+    """The array of an index table's rows, and ``more`` fields, in the body of a parsed file."""
+    fields = ", ".join([schemas.TABLES[name], *more])
+    return F.from_json(F.get_json_object("body", f"$.{name}"), f"array<struct<{_colons(fields)}>>")
 
 
 def tables_from(parsed: DataFrame, files: DataFrame) -> dict[str, DataFrame]:
     out = {"files": files.select(F.sha2(F.concat(F.lit("file\x00"), "path"), 256).alias("file_id"), "path", "hash", "byte_len")}
     for name in ("items", "edges", "module_declarations", "source_dependencies"):
-        body = F.from_json(F.get_json_object("body", f"$.{name}"), f"array<struct<{_colons(schemas.TABLES[name])}>>")
-        out[name] = parsed.where("error is null").select(F.explode(body).alias("r")).select("r.*")
+        out[name] = parsed.where("error is null").select(F.explode(rows_of(name)).alias("r")).select("r.*")
     declared = joins.explode_join(
         out["module_declarations"].select("from_item_id", "target_paths"), "target_paths",
         out["files"].select(F.col("path").alias("target"), "file_id"), "target",

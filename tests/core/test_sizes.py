@@ -62,3 +62,38 @@ def test_prefixes_equal_brute_force_whatever_the_crowd(spark, monkeypatch):
                 ]
                 want[i] = max(fits)[1] if fits else None
             assert {r["i"]: r["k"] for r in out.collect()} == want
+
+
+def customers(spark, n):
+    return lambda name: spark.range(n).select(F.col("id").alias("c_custkey")).coalesce(1)
+
+
+def test_items_are_joined_to_nothing(spark):
+    from impactframe.queries import plan_queries
+
+    out = plan_queries.rust_items(customers(spark, 50))
+    assert len(out.collect()) == 300
+    assert not [n for n in plan_nodes(out) if "Join" in n.getClass().getSimpleName()]
+
+
+def test_sources_are_parsed_once_in_several_tasks(spark):
+    from impactframe.queries import plan_queries
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = plan_queries.rust_sources(customers(spark, 50))
+        assert len(out.collect()) == 150
+        names = [n.getClass().getSimpleName() for n in plan_nodes(out)]
+        assert names.count("MapInArrowExec") == 1
+        assert out.select(F.spark_partition_id()).distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_names_of_parents_are_those_of_their_ids():
+    from impactframe.plans.index import file_rows
+
+    items = file_rows("a.rs", "mod a { impl X { fn f() {} } mod b { const C: u8 = 1; } }\nfn g() {}\n")["items"]
+    names = {i["item_id"]: i["name"] for i in items}
+    assert [i["parent_name"] for i in items] == [names.get(i["parent_item_id"]) for i in items]
+    assert len({i["parent_name"] for i in items}) == 4
