@@ -71,7 +71,8 @@ def parse_files(files: DataFrame) -> DataFrame:
     root = str(Path(__file__).resolve().parents[2])
     if root not in environment.get("PYTHONPATH", ""):
         environment["PYTHONPATH"] = ":".join(filter(None, [root, environment.get("PYTHONPATH", "")]))
-    return files.select("path", "content").repartition("path").mapInArrow(_parse_batches, _PARSED)
+    tasks = 2 * files.sparkSession.sparkContext.defaultParallelism
+    return files.select("path", "content").repartition(tasks, "path").mapInArrow(_parse_batches, _PARSED)
 
 
 def rows_of(name: str, *more: str) -> Column:
