@@ -19,6 +19,8 @@ from ..session import durable
 SCHEMA = "path string, ranges array<struct<start_line int, end_line int>>"
 # The keys of an object that may hold further paths.
 NESTED_KEYS = ["files", "paths", "changed_files", "items", "values"]
+#: Levels of a JSON value that are opened at once.
+LEVELS = 16
 
 
 def trimmed_lines(text: Column) -> Column:
@@ -69,22 +71,15 @@ def change_table(spark: SparkSession, rows: list[tuple[str, list[tuple[int, int]
 
 def json_path_rows(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, path) of JSON texts in a table, however deep they are nested, without Python.
-    Each pass turns a value into its path, or into the values it holds, until none is left;
-    a pass reads only what the one before it has opened."""
-    kind = F.schema_of_variant("v")
-    is_object = F.startswith(kind, F.lit("OBJECT"))
-    own = F.when(kind == "STRING", F.expr("try_variant_get(v, '$', 'string')")).when(
-        is_object, F.expr("try_variant_get(v, '$.path', 'string')")
-    )
-    arrays = F.when(F.startswith(kind, F.lit("ARRAY")), F.expr("try_variant_get(v, '$', 'array<variant>')"))
-    held = F.when(is_object, F.array_compact(F.array(*[F.expr(f"try_variant_get(v, '$.{k}', 'variant')") for k in NESTED_KEYS])))
-    none = F.lit(None).cast("string")
-    level = df.select(key, F.try_parse_json(text).alias("v"))
+    Each pass opens ``LEVELS`` levels of a value within its row; what lies deeper is written
+    and opened by the next."""
+    level = df.select(key, text).repartition(key, text).select(key, F.try_parse_json(text).alias("v"))
     found: list[DataFrame] = []
     while True:
-        done = F.array(F.struct(F.lit(None).cast("variant").alias("v"), own.alias("path")))
-        below = F.transform(F.coalesce(arrays, held), lambda x: F.struct(x.alias("v"), none.alias("path")))
-        level = durable(level.select(key, F.inline(F.when(own.isNotNull(), done).otherwise(below))))
+        held = F.array(_held(F.col("v")))
+        for _ in range(LEVELS):
+            held = F.flatten(F.transform(held, _opened))
+        level = durable(level.select(key, F.inline(held)))
         found.append(level.where("path is not null").select(key, "path"))
         level = level.where("path is null and v is not null").select(key, "v")
         if level.isEmpty():
@@ -95,6 +90,36 @@ def json_path_rows(df: DataFrame, key: str, text: str) -> DataFrame:
     return out
 
 
+def _held(v: Column | None, path: Column | None = None) -> Column:
+    none = F.lit(None)
+    return F.struct(
+        (none.cast("variant") if v is None else v).alias("v"), (none.cast("string") if path is None else path).alias("path")
+    )
+
+
+def _opened(x: Column) -> Column:
+    """What a value holds: itself if it is a path already, its path, or the values inside.
+    The kind of a value is found by taking it as an array, then as an object; its schema,
+    which is as long as the value, is asked of scalars only."""
+    v = x["v"]
+    get = lambda kind: F.call_function("try_variant_get", v, F.lit("$"), F.lit(kind))
+    inside = F.transform(get("array<variant>"), lambda y: _held(y))
+
+    def fields(o: Column) -> Column:
+        below = F.transform(F.array_compact(F.array(*[o[k] for k in NESTED_KEYS])), lambda y: _held(y))
+        is_text = F.schema_of_variant(o["path"]) == "STRING"
+        own = F.call_function("try_variant_get", o["path"], F.lit("$"), F.lit("string"))
+        return F.when(o.isNotNull(), F.when(is_text, F.array(_held(None, own))).otherwise(below))
+
+    known = f"struct<path:variant,{','.join(f'{k}:variant' for k in NESTED_KEYS)}>"
+    # an array of one is the object under a name, so that it is taken out once
+    object_ = F.element_at(F.transform(F.array(get(known)), fields), 1)
+    text = F.when(F.schema_of_variant(v) == "STRING", F.array(_held(None, get("string"))))
+    return F.when(x["path"].isNotNull(), F.array(x)).otherwise(
+        F.coalesce(inside, object_, text, F.array().cast("array<struct<v:variant,path:string>>"))
+    )
+
+
 def diff_ranges(df: DataFrame, text: str, *keys: str) -> DataFrame:
     """(keys, path, start_line, end_line) of unified diffs: a row for each hunk's new side,
     and one without range for a file without hunks on that side. A file that is deleted is

@@ -97,3 +97,17 @@ def test_names_of_parents_are_those_of_their_ids():
     names = {i["item_id"]: i["name"] for i in items}
     assert [i["parent_name"] for i in items] == [names.get(i["parent_item_id"]) for i in items]
     assert len({i["parent_name"] for i in items}) == 4
+
+
+def test_json_levels_share_a_pass(spark, monkeypatch):
+    import json
+
+    from impactframe.sources import changes
+
+    written = []
+    monkeypatch.setattr(changes, "durable", lambda df, f=changes.durable: written.append(1) or f(df))
+    texts = ["[" * 12 + '"p", {"files": [[{"path": "q"}]]}' + "]" * 12, '{"path": 7, "files": ["z", {"path": {"a": 1}, "items": "y"}]}', "[" * 40 + '"d"' + "]" * 40]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    want = sorted((k, p) for k, t in enumerate(texts) for p, _ in changes.json_paths(json.loads(t)))
+    assert sorted((r["k"], r["path"]) for r in changes.json_path_rows(df, "k", "t").collect()) == want
+    assert len(written) == 3
