@@ -57,10 +57,12 @@ def dependency_edges(index: Index) -> DataFrame:
     )
 
 
-def owners(index: Index, table: DataFrame, path: str = "path") -> DataFrame:
-    """(path, owner): the package whose root is the deepest above the path."""
+def owners(index: Index, table: DataFrame, path: str = "path", distinct: bool = False) -> DataFrame:
+    """(path, owner): the package whose root is the deepest above the path. ``distinct``: the
+    table has each path once."""
     roots = index["packages"].select(F.col("root_path").alias("_root"), F.col("id").alias("owner"))
-    return joins.longest_prefix_join(table.select(path).distinct(), path, roots, "_root", "owner").select(path, "owner")
+    asked = table.select(path) if distinct else table.select(path).distinct()
+    return joins.longest_prefix_join(asked, path, roots, "_root", "owner").select(path, "owner")
 
 
 def configured(changes: DataFrame, rules: DataFrame | None) -> DataFrame:
@@ -78,24 +80,35 @@ def explain_inputs(
     return _explained(index, changes, durable(configured(changes, rules)), default_inert)[:2]
 
 
+def classify_inputs(index: Index, changes: DataFrame, rules: DataFrame | None = None, default_inert: bool = True) -> DataFrame:
+    """The first table of ``explain_inputs`` alone, for which no closure is walked."""
+    return _classified(index, changes, durable(configured(changes, rules)), default_inert)[0]
+
+
 def _explained(index: Index, changes: DataFrame, matches: DataFrame, default_inert: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``explain_inputs`` from rule matches, and the closure (seed, node) of the packages that
     a path reaches directly and of those that own a path: all that later steps ask for."""
-    changed = changes.select("path").distinct()
+    explained, included_by = _classified(index, changes, matches, default_inert)
+    return (explained, *_reached(index, matches, explained, included_by))
+
+
+def _classified(index: Index, changes: DataFrame, matches: DataFrame, default_inert: bool) -> tuple[DataFrame, DataFrame]:
+    """The explanation of every path, and (path, package_id) of the packages that include it."""
+    changed = durable(changes.select("path").distinct())
     by_rule = decisions.rule_precedence(matches, "path", "selection").select("path", F.col("is_inert").alias("_ignore"))
     indexed = index["files"].select("path").distinct().withColumn("_indexed", F.lit(True))
     included = index["source_dependencies"].groupBy(F.col("target_path").alias("path")).agg(
         groups.some(F.col("kind") == "path_module").alias("_module")
     )
     users = index["source_dependencies"].select(F.col("target_path").alias("path"), "source_path").distinct()
-    own = owners(index, changed)
+    own = owners(index, changed, distinct=True)
     source_owner = owners(index, users.select(F.col("source_path").alias("path")).distinct()).select(
         F.col("path").alias("source_path"), F.col("owner").alias("package_id")
     )
     included_by = users.join(source_owner, "source_path").where("package_id is not null").select("path", "package_id").distinct()
     any_user = included_by.select("path").distinct().withColumn("_used", F.lit(True))
     base = (
-        changed.join(own, "path", "left").join(by_rule, "path", "left").join(indexed, "path", "left")
+        own.join(by_rule, "path", "left").join(indexed, "path", "left")
         .join(included, "path", "left").join(any_user, "path", "left")
     )
     p = F.col("path")
@@ -127,7 +140,10 @@ def _explained(index: Index, changes: DataFrame, matches: DataFrame, default_ine
     reason = F.when(kind == "inert", F.when(F.col("_ignore"), "configured as ignored").otherwise(inert)).otherwise(kind)
     final = F.when(kind == "generated", "uncertain").otherwise(kind)
     explained = durable(base.select("path", final.alias("kind"), reason.alias("reason"), "owner", F.coalesce(wide, F.lit(False)).alias("failed_wide")))
+    return explained, included_by
+
 
+def _reached(index: Index, matches: DataFrame, explained: DataFrame, included_by: DataFrame) -> tuple[DataFrame, DataFrame]:
     chosen = matches.where("selection <> 'ignore'")
     named = chosen.select("path", F.explode("packages").alias("name")).join(index["packages"].select("name", F.col("id").alias("package_id")), "name")
     placed = chosen.select("path", F.explode("workspaces").alias("workspace")).join(
@@ -147,15 +163,20 @@ def _explained(index: Index, changes: DataFrame, matches: DataFrame, default_ine
     )
     seeds = direct.select(F.col("package_id").alias("seed")).unionByName(explained.where("owner is not null").select(F.col("owner").alias("seed")))
     closure = durable(graph.reverse_closure(dependency_edges(index), seeds.distinct()))
-    reached = direct.join(closure, direct["package_id"] == closure["seed"]).select("path", F.col("node").alias("package_id"))
     whole = placed.join(is_rule, "path", "left_semi").select("path", "package_id")
-    marked = (
-        direct.withColumn("is_direct", F.lit(True))
-        .unionByName(reached.unionByName(whole).withColumn("is_direct", F.lit(False)))
+    # pairs can meet twice only where a path has several packages or rules: all others are
+    # distinct as the closure has them, and are not shuffled by pair
+    many = direct.groupBy("path").agg(F.count("*").alias("_n")).where("_n > 1").select("path").unionByName(whole.select("path")).distinct()
+    ways = lambda some: some.join(closure, some["package_id"] == closure["seed"]).select("path", F.col("node").alias("package_id"), "seed")
+    once = ways(direct.join(many, "path", "left_anti")).select("path", "package_id", (F.col("package_id") == F.col("seed")).alias("is_direct"))
+    shared = direct.join(many, "path", "left_semi")
+    merged = (
+        shared.withColumn("is_direct", F.lit(True))
+        .unionByName(ways(shared).drop("seed").unionByName(whole).withColumn("is_direct", F.lit(False)))
         .groupBy("path", "package_id")
         .agg(F.bool_or("is_direct").alias("is_direct"))
     )
-    return explained, durable(marked), closure
+    return once.unionByName(merged), closure
 
 
 def unknown_rules(index: Index, rules: DataFrame | None) -> list[str]:
@@ -265,6 +286,7 @@ def affected(
         raise ValueError(f"rules name unknown packages: {', '.join(missing)}")
     matches = durable(configured(changes, rules))
     explained, reached, closure = _explained(index, changes, matches, default_inert)
+    reached = durable(reached)
     matches = joins.ordered_matches(matches, "path")
     flagged = durable(test_sources(index, owners(index, changes)))
 
