@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import durable
+from ..session import dealt, durable
 
 MAX_STEPS = 10_000
 COMPACT_STEPS = 16
@@ -25,12 +25,13 @@ def reached_levels(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """(seed, node, level) from ``starts(seed, node)``: nodes reached from any start of a
     seed. A seed may be a label of many starts, which are then walked as one."""
     edges = durable(edges.select("src", "dst").where("src <> dst").distinct())
+    n = edges.count()  # from the files' footers
     frontier = durable(starts.select("seed", "node").distinct().withColumn("level", F.lit(0)))
     reached = frontier
     for level in range(1, MAX_STEPS):
+        met = frontier.join(dealt(edges, n, "src"), F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node"))
         frontier = durable(
-            frontier.join(edges, frontier["node"] == edges["src"])
-            .select("seed", F.col("dst").alias("node"))
+            dealt(met, n, "seed", "node")
             .distinct()
             .join(reached.select("seed", "node"), ["seed", "node"], "left_anti")
             .withColumn("level", F.lit(level))
@@ -52,10 +53,13 @@ def reverse_closure(dependencies: DataFrame, seeds: DataFrame) -> DataFrame:
 
 
 def induced_edges(edges: DataFrame, closure: DataFrame) -> DataFrame:
-    """(seed, src, dst): edges with both ends in one seed's closure."""
+    """(seed, src, dst): edges with both ends in one seed's closure. The edges are counted, to
+    give each task a bounded number of them."""
+    n = edges.count()
     src = closure.select("seed", F.col("node").alias("src"))
     dst = closure.select("seed", F.col("node").alias("dst"))
-    return edges.join(src, "src").join(dst, ["seed", "dst"]).select("seed", "src", "dst").distinct()
+    out = dealt(edges.select("src", "dst"), n, "src").join(src, "src")
+    return dealt(out, n, "seed", "dst").join(dst, ["seed", "dst"]).select("seed", "src", "dst").distinct()
 
 
 def closure_difference(dependencies: DataFrame, tests: DataFrame, production: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import diff, graph
+from ..session import dealt, durable
 from . import registry
 
 EDGES = """e as (select distinct src, dst from (select l_partkey src, lead(l_partkey) over (partition by l_orderkey
@@ -14,8 +15,10 @@ EDGES = """e as (select distinct src, dst from (select l_partkey src, lead(l_par
 
 def part_edges(t):
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
-    pairs = t("lineitem").select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(order).alias("dst"))
-    return pairs.where("dst is not null and src <> dst").distinct()
+    items = t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    n = items.count()
+    pairs = dealt(items, n, "l_orderkey").select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(order).alias("dst"))
+    return dealt(pairs.where("dst is not null and src <> dst"), n, "src", "dst").distinct()
 
 
 def seeds(t, *values: int):
@@ -37,7 +40,7 @@ def bfs_levels(t):
 @registry.add(f"""with recursive {EDGES}, r(node) as (select 0::bigint union select e.src from r join e on r.node = e.dst)
 select src, dst from e where src in (select node from r) and dst in (select node from r)""")
 def induced_edges(t):
-    edges = part_edges(t)
+    edges = durable(part_edges(t))
     return graph.induced_edges(edges, graph.reverse_closure(edges, seeds(t, 0))).select("src", "dst")
 
 

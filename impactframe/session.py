@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: The folder made up where none is set.
 _local: list[str] = []
+#: Rows that a task sorts or groups where a table is dealt out by its size.
+ROWS = 500_000
 
 
 def local_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -37,3 +39,11 @@ def durable(df: DataFrame) -> DataFrame:
     path = f"{folder.rstrip('/')}/impactframe-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df``, of about ``rows`` rows, by its keys in so many tasks that none has much more than
+    ``ROWS``; a table of fewer rows is left as it is."""
+    if rows <= ROWS:
+        return df
+    return df.repartition(max(-(-rows // ROWS), df.sparkSession.sparkContext.defaultParallelism), *keys)

@@ -111,3 +111,50 @@ def test_json_levels_share_a_pass(spark, monkeypatch):
     want = sorted((k, p) for k, t in enumerate(texts) for p, _ in changes.json_paths(json.loads(t)))
     assert sorted((r["k"], r["path"]) for r in changes.json_path_rows(df, "k", "t").collect()) == want
     assert len(written) == 3
+
+
+def test_classes_are_found_without_a_closure(spark, monkeypatch):
+    from impactframe.operators import graph
+    from impactframe.queries import plan_queries
+
+    monkeypatch.delattr(graph, "reverse_closure")
+    read = lambda name: spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+    assert plan_queries.explained_inputs(read).count() > 0
+
+
+def test_reached_pairs_are_not_shuffled_by_pair(spark):
+    from impactframe.plans import affected as plan
+
+    packages = [(f"p{i}", f"p{i}", "w", "w", f"w/p{i}/Cargo.toml", f"w/p{i}") for i in range(40)]
+    names = "id string, name string, workspace string, workspace_path string, manifest_path string, root_path string"
+    needs = [(f"p{i}", f"p{i - 1}", "n", None, "normal", None) for i in range(1, 40)]
+    kinds = "package_id string, depends_on_package_id string, name string, depends_on_path string, kind string, target string"
+    index = plan.Index(spark, {"packages": spark.createDataFrame(packages, names), "package_dependencies": spark.createDataFrame(needs, kinds)})
+    changes = spark.createDataFrame([(f"w/p{i % 2}/x{i}.bin",) for i in range(100)], "path string")
+    rules = spark.createDataFrame([(0, "rule", "packages", "x0.bin", [], ["p38", "p0"])], "rule_index int, source string, selection string, regex string, workspaces array<string>, packages array<string>")
+    _, reached = plan.explain_inputs(index, changes, rules)
+    rows = reached.collect()
+    assert len(rows) == len({(r["path"], r["package_id"]) for r in rows}) == 50 * 40 + 50 * 39
+    assert {r["package_id"] for r in rows if r["is_direct"] and r["path"] == "w/p0/x0.bin"} == {"p38", "p0"}
+    dealt = [n.metrics().get("shuffleRecordsWritten") for n in plan_nodes(reached) if n.getClass().getSimpleName() == "ShuffleExchangeExec"]
+    assert max([d.get().value() for d in dealt if d.isDefined()], default=0) < 1000
+
+
+def test_large_graphs_are_dealt_by_their_size(spark, monkeypatch):
+    from impactframe import session
+    from impactframe.operators import graph
+    from impactframe.plans.explain import chains
+
+    monkeypatch.setattr(session, "ROWS", 10)
+    edges = [(i, i // 2) for i in range(1, 200)] + [(5, 9), (9, 5)]
+    table = spark.createDataFrame(edges, "src long, dst long")
+    closure = graph.reverse_closure(table, spark.createDataFrame([(1,), (2,)], "seed long"))
+    inner = graph.induced_edges(table, closure)
+    inside = {s: {r["node"] for r in closure.where(f"seed = {s}").collect()} for s in (1, 2)}
+    want = {(s, a, b) for s in (1, 2) for a, b in edges if {a, b} <= inside[s]}
+    assert sorted(map(tuple, inner.collect())) == sorted(want)
+    tasks = [n.outputPartitioning().numPartitions() for n in plan_nodes(inner) if n.getClass().getSimpleName() == "ShuffleExchangeExec"]
+    assert max(tasks) >= 20
+    commands = table.select(F.col("src").alias("node"), F.lit("c").alias("command"))
+    shown = [tuple(r) for r in chains(table, closure, commands).collect()]
+    assert len(shown) == len(set(shown)) and {x for x in shown if x[1] == "reverse dependency"} == {(str(a), "reverse dependency", str(b)) for _, a, b in want}
